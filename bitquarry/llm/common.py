@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
         at, n = 0, b.num_rows
         if n == 0:
             continue
-        sizes = pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         total = 0
         for i in range(n):
             if total and total + sizes[i] > most:

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bitquarry.llm.op2_token_files import op2_token_files
+from bitquarry.llm.op4_warc import op4_warc
+from bitquarry.llm.op5_secrets import op5_secrets
+from bitquarry.llm.op7_url_filter import op7_url_filter
 from bitquarry.llm.op8_bpe import op8_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op8_bpe)}
+    return {f.__name__: f for f in (op2_token_files, op4_warc, op5_secrets, op7_url_filter, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bitquarry.llm.op1_toxicity import op1_toxicity
 from bitquarry.llm.op2_token_files import op2_token_files
 from bitquarry.llm.op4_warc import op4_warc
 from bitquarry.llm.op5_secrets import op5_secrets
@@ -15,7 +16,7 @@ from bitquarry.llm.op8_bpe import op8_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_warc, op5_secrets, op7_url_filter, op8_bpe, op9_top_k)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_warc, op5_secrets, op7_url_filter, op8_bpe, op9_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,8 +37,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(flat: np.ndarray, offsets: np.ndarray, part_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, A-Z taken as a-z, and each row's bounds in them (rows + 1)."""
+def words(flat: np.ndarray, offsets: np.ndarray, part_of: np.ndarray, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, A-Z taken as a-z, and each row's bounds in them (rows + 1).
+
+    With ``most``, each word is followed by another hash: that of its first ``most`` bytes.
+    """
     n = len(flat)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -59,7 +62,12 @@ def words(flat: np.ndarray, offsets: np.ndarray, part_of: np.ndarray) -> tuple[n
     sums[0] = 0
     np.cumsum(np.where(part_of, _BYTE, np.uint64(0))[flat] * power, out=sums[1:])
     h = (sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64)
-    return mix(h), np.searchsorted(starts, offsets)
+    bounds = np.searchsorted(starts, offsets)
+    if not most:
+        return mix(h), bounds
+    cut = np.minimum(stops, starts + most)
+    head = (sums[cut] - sums[starts]) * inverse[starts] + np.uint64(1 << 40)
+    return mix(np.column_stack([h, head]).reshape(-1)), 2 * bounds
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

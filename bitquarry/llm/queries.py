@@ -10,13 +10,14 @@ from bitquarry.llm.op1_toxicity import op1_toxicity
 from bitquarry.llm.op2_token_files import op2_token_files
 from bitquarry.llm.op4_warc import op4_warc
 from bitquarry.llm.op5_secrets import op5_secrets
+from bitquarry.llm.op6_decontaminate import op6_decontaminate
 from bitquarry.llm.op7_url_filter import op7_url_filter
 from bitquarry.llm.op9_top_k import OP9_SQL, op9_top_k
 from bitquarry.llm.op8_bpe import op8_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_warc, op5_secrets, op7_url_filter, op8_bpe, op9_top_k)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_warc, op5_secrets, op6_decontaminate, op7_url_filter, op8_bpe, op9_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:

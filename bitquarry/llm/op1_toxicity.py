@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,3 +182,24 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scores = score_toxicity(docs, labels, ~held_out(F.col("doc_id")))
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that score under 0.5, with all their columns; texts stay in their partitions."""
+    model, bound = train(docs, labels, usable, id_col, text_col)
+    where = np.flatnonzero(model.w)
+    sent = docs.sparkSession.sparkContext.broadcast((where, model.w[where], model.bias))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        at, values, bias = sent.value
+        w = np.zeros(DIM)
+        w[at] = values
+        out = [np.zeros(0)]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True).fill_null("")], names=["text"])
+        for b in sliced(iter([batch]), "text"):
+            index, bounds = features(*flat_bytes(b.column("text")))
+            out.append(sigmoid(sums_by_row(w[index], bounds) + bias - bound) if np.isfinite(bound) else np.zeros(b.num_rows))
+        return pd.Series(np.concatenate(out))
+
+    return docs.where(score(F.col(text_col)) < 0.5)

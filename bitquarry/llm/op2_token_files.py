@@ -32,8 +32,8 @@ from bitquarry.llm.common import filesystem, saved, shared_dir, sliced, text_of,
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 MAGIC, BLOCK, FILE_IDS = b"BPK1", 1 << 13, 1 << 23
 NULL_ID = -(1 << 63)
-#: Cache entries of a worker, and the longest piece that is kept.
-CACHE, LONGEST = 700_000, 48
+#: Entries of a worker's caches of pieces and of their cores, and the longest piece that is kept.
+CACHE, CORES, LONGEST = 600_000, 900_000, 48
 
 
 def bits_for(vocabulary: int) -> int:
@@ -165,17 +165,22 @@ class CachedEncoder:
         cache, cores = self.cache, self.cores
         if len(cache) > CACHE:
             cache.clear()
-        if len(cores) > CACHE:
+        if len(cores) > CORES:
             cores.clear()
-        new = set().union(*(p for p in pieces if p is not None)) - cache.keys()
+        get, coded, new = cache.get, [], set()
+        for p in pieces:
+            got = None if p is None else list(map(get, p))
+            if got is not None and None in got:
+                new.update([x for x, y in zip(p, got) if y is None])
+            coded.append(got)
         split = {p: self.parts(p) for p in new}
         fresh = list({x for pair in split.values() for x in pair if x} - cores.keys())
         cores.update(zip(fresh, self.whole(fresh), strict=True))
         for p, (core, tail) in split.items():
             cache[p] = cores[core] + (cores[tail] if tail else b"")
-        for i, p in enumerate(pieces):
-            if p is not None:
-                out[i] = b"".join(map(cache.__getitem__, p))
+        for i, (p, got) in enumerate(zip(pieces, coded, strict=True)):
+            if got is not None:
+                out[i] = b"".join(map(cache.__getitem__, p) if None in got else got)
         for p in new:
             if len(p) > LONGEST:
                 del cache[p]

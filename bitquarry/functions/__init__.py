@@ -1 +1 @@
-"""Bitwise distance and training-data operators on Spark."""
+"""Column functions, the kernels below them, and their SQL names."""

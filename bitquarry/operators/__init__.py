@@ -1 +1 @@
-"""Bitwise distance and training-data operators on Spark."""
+"""Relational operators by bit distance: filters, joins, nearest neighbours, windows."""

@@ -1 +1 @@
-"""Bitwise distance and training-data operators on Spark."""
+"""How a threshold join is carried out."""

@@ -1 +1 @@
-"""Bitwise distance and training-data operators on Spark."""
+"""Tables of fingerprints from files and from other columns."""

@@ -1 +1 @@
-"""Bitwise distance and training-data operators on Spark."""
+"""The stateless functions on streams."""

@@ -54,10 +54,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class NonNegativePU:
     """Weights of a linear model by Adam over the non-negative PU risk with logistic loss.
 
-    ``least``: words in fewer sampled texts get no weight. ``sparse``: pull of each weight to zero.
+    ``least``: words in fewer sampled texts get no weight. ``sparse``: pull of each weight to zero,
+    over the root of the number of toxic examples, as chance makes words stand out by that.
     """
 
-    def __init__(self, prior: float, steps: int = 160, rate: float = 0.05, sparse: float = 3e-4, least: int = 3):
+    def __init__(self, prior: float, steps: int = 160, rate: float = 0.05, sparse: float = 0.012, least: int = 3):
         self.prior, self.steps, self.rate, self.sparse, self.least = prior, steps, rate, sparse, least
         self.w, self.bias = np.zeros(DIM), 0.0
 
@@ -70,6 +71,10 @@ class NonNegativePU:
         w, b = np.zeros(len(vocabulary)), float(np.log(self.prior / (1 - self.prior)))
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         n_p, n_u = positive.sum(), (~positive).sum()
+        if not n_p or not n_u:
+            self.bias, self.risks = b, []
+            return self
+        pull = self.sparse / np.sqrt(max(1, n_p))
         self.risks = []
         for t in range(1, self.steps + 1):
             z = sums_by_row(w[j], kept) + b
@@ -88,10 +93,10 @@ class NonNegativePU:
             m, mb = 0.9 * m + 0.1 * gw, 0.9 * mb + 0.1 * gb
             v, vb = 0.999 * v + 0.001 * gw * gw, 0.999 * vb + 0.001 * gb * gb
             c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-            scale = np.sqrt(v / c2) + 1e-8
-            w -= self.rate * (m / c1) / scale
-            w = np.sign(w) * np.maximum(0, np.abs(w) - self.rate * np.minimum(1.0, self.sparse / scale))
-            b -= self.rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
+            scale, rate = np.sqrt(v / c2) + 1e-8, self.rate * (1 - (t - 1) / self.steps)
+            w -= rate * (m / c1) / scale
+            w = np.sign(w) * np.maximum(0, np.abs(w) - rate * np.minimum(1.0, pull / scale))
+            b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
         self.w[vocabulary], self.bias = w, b
         return self
 

@@ -38,6 +38,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_paths(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``saved``, and the folder, to be given to ``discard`` once nothing reads it any more."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table from which all that is needed has been written elsewhere."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path within it."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)

@@ -1,7 +1,7 @@
 """Operator 3: n-gram Jaccard join with R-trees over count vectors.
 
-A text's set is its distinct hashes of k-word shingles. The shingles are hashed into GROUPS groups;
-a set is the point of its counts by group. Two sets share at most the sum of the smaller counts of
+A text's set is its distinct hashes of k-word shingles. The shingles are hashed into groups, more of
+them for larger sets; a set is the point of its counts by group. Two sets share at most the sum of the smaller counts of
 all groups, and a set shares with anything below a tree's node at most the sum of the minima with
 the node's largest counts; together with the sizes this bounds their similarity. What survives the
 bounds is verified on the sets.
@@ -19,8 +19,8 @@ bounds is verified on the sets.
 Links within a component found in 1 and 2 are not listed again, for they change nothing.
 
 Defined cases: null and empty texts and those without words have an empty set, which links with
-nothing; repeated rows are copies of each other; rows with a null id belong to components but name
-none unless all of a component's ids are null; an empty table gives an empty result; other columns
+nothing; repeated rows are copies of each other; rows with a null id link with nothing
+and have a null component; an empty table gives an empty result; other columns
 are not looked at. Sets are known by 64-bit hashes, as are their members.
 """
 
@@ -35,12 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import flat_bytes, saved, sliced, text_of
+from bitquarry.llm.common import discard, flat_bytes, saved, saved_paths, sliced, text_of
 from bitquarry.llm.components import components
 from bitquarry.llm.text import NOT_SPACE, distinct_by_row, mix, shingles, words
 
 WORDS, PERCENT = 4, 85
-GROUPS, LEAF, MINS = 128, 64, 4
+LEAF, MINS = 64, 4
+#: Groups for sets of fewer shingles than stated: the bound stays sharp while sets have few shingles a group.
+GROUPS = ((4096, 128), (32768, 1024), (1 << 62, 8192))
 #: Bytes of text cut at once; bytes whose sets a task joins with each other in step 1.
 PIECE, CHUNK = 2 << 20, 16 << 20
 #: Tokens that come last in the common order: so many at most, each in a share of some task's texts.
@@ -76,7 +78,13 @@ def identity(tokens: np.ndarray) -> int:
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+    groups = next(g for most, g in GROUPS if len(tokens) < most)
+    return np.minimum(np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """The same point with fewer groups."""
+    return p if len(p) == groups else np.minimum(p.reshape(-1, groups).sum(axis=0, dtype=np.int64), 65535).astype(np.uint16)
 
 
 def shared_by(a: np.ndarray, b: np.ndarray) -> int:
@@ -95,10 +103,10 @@ class CountTree:
     are cut at 65,535, which only loosens the bound: it then stays true through ``slack``.
     """
 
-    def __init__(self, measure: Jaccard):
+    def __init__(self, measure: Jaccard, groups: int):
         self.measure, self.n = measure, 0
-        self.points, self.sizes, self.labels = np.zeros((LEAF, GROUPS), np.uint16), np.zeros(LEAF, np.int64), np.zeros(LEAF, np.int64)
-        self.tops = np.zeros((1, GROUPS), np.uint16)
+        self.points, self.sizes, self.labels = np.zeros((LEAF, groups), np.uint16), np.zeros(LEAF, np.int64), np.zeros(LEAF, np.int64)
+        self.tops = np.zeros((1, groups), np.uint16)
         self.owner = np.zeros(1, np.int64)  # the label that all of a leaf have, or -1
         self.slack = 0
 
@@ -119,7 +127,8 @@ class CountTree:
         if first >= self.n:
             return np.zeros(0, np.int64)
         a, z = first // LEAF, (self.n - 1) // LEAF + 1
-        bound = np.minimum(self.tops[a:z], p).sum(axis=1, dtype=np.int64) + self.slack
+        slack = self.slack + size - int(p.sum(dtype=np.int64))
+        bound = np.minimum(self.tops[a:z], p).sum(axis=1, dtype=np.int64) + slack
         least = np.maximum(self.sizes[a * LEAF : z * LEAF : LEAF], self.sizes[first])
         leaves = np.flatnonzero(self.measure.linked(np.minimum(bound, size), size, least) & ((self.owner[a:z] != label) | (label < 0))) + a
         if not len(leaves):
@@ -128,15 +137,35 @@ class CountTree:
         at = at[(at >= first) & (at < self.n)]
         if label >= 0:
             at = at[self.labels[at] != label]
-        bound = np.minimum(self.points[at], p).sum(axis=1, dtype=np.int64) + self.slack
+        bound = np.minimum(self.points[at], p).sum(axis=1, dtype=np.int64) + slack
         return at[self.measure.linked(np.minimum(bound, self.sizes[at]), size, self.sizes[at])]
 
 
+class CountForest:
+    """A tree for each number of groups; sets come in ascending order of their sizes."""
+
+    def __init__(self, measure: Jaccard):
+        self.measure, self.n = measure, 0
+        self.trees: dict[int, tuple[CountTree, list[int]]] = {}
+
+    def add(self, p: np.ndarray, size: int, label: int) -> None:
+        if len(p) not in self.trees:
+            self.trees[len(p)] = CountTree(self.measure, len(p)), []
+        tree, places = self.trees[len(p)]
+        tree.add(p, size, label)
+        places.append(self.n)
+        self.n += 1
+
+    def near(self, p: np.ndarray, size: int, label: int = -1) -> list[int]:
+        """Places, in the order of adding, of what the bounds leave."""
+        return [places[i] for groups, (tree, places) in self.trees.items() for i in tree.near(folded(p, groups), size, label).tolist()]
+
+
 def centres(sets: list[np.ndarray], measure: Jaccard) -> np.ndarray:
     """For each set the place of a verified centre, its own if there is none; -1 for empty sets."""
     out = np.full(len(sets), -1, np.int64)
     sizes = np.array([len(s) for s in sets], np.int64)
-    tree, held, seen = CountTree(measure), [], {}
+    tree, held, seen = CountForest(measure), [], {}
     for i in np.argsort(sizes, kind="stable").tolist():
         if not sizes[i]:
             continue
@@ -146,7 +175,7 @@ def centres(sets: list[np.ndarray], measure: Jaccard) -> np.ndarray:
             continue
         seen[key] = i
         p = point(sets[i])
-        for c in tree.near(p, int(sizes[i]))[::-1].tolist():
+        for c in tree.near(p, int(sizes[i]))[::-1]:
             j = held[c]
             if measure.linked(shared_by(sets[j], sets[i]), sizes[i], sizes[j]):
                 out[i] = j
@@ -173,8 +202,8 @@ def frequent_tokens(rows: DataFrame, measure: Jaccard) -> np.ndarray:
     return np.sort(top.toArrow().column("token").to_numpy().view(np.uint64))
 
 
-def described(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
-    """Step 1. A row for each text: doc_id, n, node, centre (a node), mins, vector, prefix; written out."""
+def described(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """Step 1. For each text: row (its number), doc_id, n, node, centre (a node), mins, vector, prefix; written out, with the folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, measure))  # FREQUENT numbers at most
 
@@ -184,7 +213,7 @@ def described(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) ->
 
         def rows_of(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             names = [identity(s) for s in sets]
-            at = centres(sets, measure)
+            at = centres([s if i is not None else s[:0] for i, s in zip(ids, sets, strict=True)], measure)
             mins, vectors, prefixes = [], [], []
             for s, name, c in zip(sets, names, at.tolist(), strict=True):
                 own = c >= 0 and names[c] == name
@@ -210,7 +239,8 @@ def described(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) ->
         if ids:
             yield rows_of(ids, sets)
 
-    return saved(rows.mapInArrow(run, "doc_id long, n long, node long, centre long, mins array<long>, vector binary, prefix binary"), "sets")
+    out = rows.mapInArrow(run, "doc_id long, n long, node long, centre long, mins array<long>, vector binary, prefix binary")
+    return saved_paths(out.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
@@ -242,47 +272,48 @@ def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, measure: Jacca
 
 
 def candidates(nodes: DataFrame, measure: Jaccard) -> DataFrame:
-    """Step 3: pairs of nodes of different components that share a prefix token and that R-trees leave. ``nodes``: node, label, n, vector, prefix."""
+    """Step 3: pairs of nodes of different components that share a prefix token and that R-trees leave.
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each token and component of a batch, with the nodes that have them."""
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                data = part.column("prefix").to_pylist()
-                sizes = np.array([len(x) // 8 for x in data], np.int64)
-                token = np.frombuffer(b"".join(data), np.int64)
-                node, label = np.repeat(part.column("node").to_numpy(), sizes), np.repeat(part.column("label").to_numpy(), sizes)
-                if not len(token):
-                    continue
-                order = np.lexsort((label, token))
-                token, node, label = token[order], node[order], label[order]
-                new = np.ones(len(token), bool)
-                new[1:] = (token[1:] != token[:-1]) | (label[1:] != label[:-1])
-                first = np.flatnonzero(new)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(token)).astype(np.int32)), pa.array(node))
-                yield pa.RecordBatch.from_arrays([pa.array(token[first]), pa.array(label[first]), lists], names=["token", "label", "nodes"])
-
-    entries = saved(nodes.select("node", "label", "prefix").mapInArrow(gathered, "token long, label long, nodes array<long>"), "entries")
-    mixed = saved(entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token"), "mixed-tokens")
-    met = entries.join(mixed, "token").select("token", F.explode("nodes").alias("node"))
-    met = met.join(nodes.select("node", "label", "n", "vector"), "node")
+    ``nodes``: row, node, label (a row), n, vector, prefix. Tokens are cut to 48 bits here and nodes go
+    by row, for less to shuffle; that two tokens fall together makes a candidate more at worst.
+    """
+
+    def exploded(other: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    part = b.slice(at, 4096)
+                    data = part.column("prefix").to_pylist()
+                    token = (np.frombuffer(b"".join(data), np.uint64) >> np.uint64(16)).astype(np.int64)
+                    with_it = np.repeat(part.column(other).to_numpy(), [len(x) // 8 for x in data])
+                    if other == "label":  # one for each token and component
+                        order = np.lexsort((with_it, token))
+                        token, with_it = token[order], with_it[order]
+                        new = np.ones(len(token), bool)
+                        new[1:] = (token[1:] != token[:-1]) | (with_it[1:] != with_it[:-1])
+                        token, with_it = token[new], with_it[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(with_it)], names=["token", other])
+
+        return nodes.select(other, "prefix").mapInArrow(run, f"token long, {other} long")
+
+    mixed = exploded("label").groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    met = exploded("row").join(saved(mixed, "mixed-tokens"), "token").join(nodes.select("row", "node", "label", "n", "vector"), "row")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by token, then size; the tree of a token holds what came before."""
-        token, tree, held, found = None, None, [], []
+        """Rows come by token, then size; the forest of a token holds what came before."""
+        token, forest, held, codes, found = None, None, [], {}, set()
         for b in batches:
-            points = [np.frombuffer(x, np.uint16) for x in b.column("vector").to_pylist()]
-            for t, node, label, n, p in zip(b.column("token").to_pylist(), b.column("node").to_pylist(), b.column("label").to_pylist(), b.column("n").to_pylist(), points, strict=True):
+            for t, node, label, n, vector in zip(*(b.column(c).to_pylist() for c in ("token", "node", "label", "n", "vector")), strict=True):
+                p = np.frombuffer(vector, np.uint16)
                 if t != token:
-                    token, tree, held, codes = t, CountTree(measure), [], {}
+                    token, forest, held, codes = t, CountForest(measure), [], {}
                 code = codes.setdefault(label, len(codes))
-                found += [(min(node, held[c]), max(node, held[c])) for c in tree.near(p, n, code).tolist()]
-                tree.add(p, n, code)
+                found.update((min(node, held[c]), max(node, held[c])) for c in forest.near(p, n, code))
+                forest.add(p, n, code)
                 held.append(node)
-                if len(found) >= 1 << 16:
+                if len(found) >= 1 << 17:
                     yield _pairs(found)
-                    found = []
+                    found = set()
         if found:
             yield _pairs(found)
 
@@ -290,30 +321,34 @@ def candidates(nodes: DataFrame, measure: Jaccard) -> DataFrame:
     return dealt.mapInArrow(joined, "a long, b long").distinct()
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    found = list(dict.fromkeys(found))
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, measure: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    own = described(docs, measure, id_col, text_col)
-    sets = saved(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max(F.struct("n", "vector", "prefix")).alias("s")).select("node", "doc_id", "s.*"), "nodes")
-    texts = sets.select("node", "doc_id").where("doc_id is not null")
-    near = own.where("n > 0 and node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    keys = own.where("n > 0").select("node", "n", F.posexplode("mins").alias("i", "key")).distinct()
+    spark = docs.sparkSession
+    own, own_path = described(docs, measure, id_col, text_col)
+    live = own.where("n > 0 and doc_id is not null")
+    sets = saved(live.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "nodes")
+    texts = sets.select("node", "doc_id")
+    near = live.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    keys = live.select("node", "n", F.posexplode("mins").alias("i", "key")).distinct()
     star = saved(keys.groupBy("i", "key").agg(F.min(F.struct("n", "node")).alias("c"), F.count("*").alias("k")).where("k > 1").select("i", "key", F.col("c.node").alias("b")), "stars")
     pairs = keys.join(star, ["i", "key"]).where("node != b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     links = saved(near.unionByName(verified(pairs, docs, texts, measure, id_col, text_col)), "links")
-    labels = components(links)
-    nodes = saved(sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n", "vector", "prefix"), "nodes")
+    labelled = sets.join(components(links), "node", "left").select("row", "node", F.coalesce("label", "node").alias("label_node"))
+    labelled = saved(labelled, "labelled").join(sets.select(F.col("node").alias("label_node"), F.col("row").alias("label")), "label_node").select("row", "node", "label")
+    nodes, nodes_path = saved_paths(own.select("row", "n", "vector", "prefix").join(saved(labelled, "labelled"), "row"), "points")
+    own = saved(own.select("doc_id", "n", "node"), "own")
+    discard(spark, own_path)
     more = verified(candidates(nodes, measure), docs, texts, measure, id_col, text_col)
-    labels = components(links.unionByName(more))
-    named = saved(sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id"), "named")
+    discard(spark, nodes_path)
+    named = saved(sets.join(components(links.unionByName(more)), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id"), "named")
     least = saved(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     of = saved(named.join(least, "label").select("node", "component_id"), "component-ids")
     out = own.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

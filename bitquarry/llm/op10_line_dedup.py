@@ -66,14 +66,16 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """h1, h2, first (doc_id and place of the first copy), line."""
-    return lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.first("line").alias("line"))
+    """h1, h2, x (doc_id and place of the first copy, and the line).
+
+    One value holds all, so that each use of the table has the same plan and Spark shuffles the lines once.
+    """
+    return lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "line")).alias("x"))
 
 
 def near_pairs(distinct: DataFrame, edits: int, least: int) -> DataFrame:
     """Hashes of pairs of different lines (a, b) that meet in a segment, b no longer than a."""
-    length = F.char_length("line")
-    rows = distinct.select("h1", "h2", "line", length.alias("n"))
+    rows = distinct.select("h1", "h2", F.col("x.line").alias("line"), F.char_length("x.line").alias("n"))
     index = rows.select("h1", "h2", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     probe = rows.select("h1", "h2", F.explode(probe_keys(F.col("line"), F.col("n"), edits, least)).alias("key")).where("key is not null")
     pairs = probe.select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2")).join(index.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2")), "key")
@@ -84,11 +86,12 @@ def late_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col:
     """doc_id and place of each line that goes."""
     lines = lines_of(docs, id_col, text_col, least)
     distinct = distinct_lines(lines)
-    a = distinct.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("a_first"), F.col("line").alias("a"))
-    b = distinct.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("b_first"), F.col("line").alias("b"))
+    a = distinct.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("x").alias("a"))
+    b = distinct.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("x").alias("b"))
     found = near_pairs(distinct, edits, least).join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
-    found = found.where(F.levenshtein("a", "b", edits) >= 0)
-    later = F.when(F.col("a_first") > F.col("b_first"), F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")))
+    found = found.where(F.levenshtein("a.line", "b.line", edits) >= 0)
+    place = lambda x: F.struct(f"{x}.doc_id", f"{x}.place")
+    later = F.when(place("a") > place("b"), F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")))
     late = found.select(later.alias("x")).select("x.*").distinct().withColumn("near", F.lit(True))
     # A line's fate is its first copy's: copies carry only their hashes and places from here on.
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("copies"))

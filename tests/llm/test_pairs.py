@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -140,7 +141,13 @@ def plain_dedup(texts, edits, least):
             if len(line) >= least:
                 first.setdefault(line, (i, j))
     lines = sorted(first, key=first.get)
-    near = {b for n, b in enumerate(lines) for a in lines[:n] if abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits}
+    counts = [Counter(line) for line in lines]
+
+    def close(i, j):  # letters that only one of both has are edits as well
+        a, b = counts[i], counts[j]
+        return abs(len(lines[i]) - len(lines[j])) <= edits and (a - b).total() <= edits and (b - a).total() <= edits and edit_distance(lines[i], lines[j]) <= edits
+
+    near = {b for n, b in enumerate(lines) if any(close(i, n) for i in range(n))}
     out = []
     for i, t in enumerate(texts):
         if t is None:

@@ -195,19 +195,20 @@ def _each(path: str, emit: Callable[[SegmentTreeBpe, str], tuple], schema: pa.Sc
 
 
 def _full(bpe: SegmentTreeBpe, text: str) -> tuple:
-    ids = bpe.encode(text).tolist()
-    return len(ids), ids, bpe.decode(ids)
+    ids = bpe.encode(text)
+    return len(ids), ids.astype(np.int32), bpe.decode(ids.tolist())
 
 
 _DECIMAL: list[str] = []
 
 
 def _digest(bpe: SegmentTreeBpe, text: str) -> tuple:
-    n, ids, decoded = _full(bpe, text)
+    ids = bpe.encode(text).tolist()
+    decoded = bpe.decode(ids)
     if not _DECIMAL:
         _DECIMAL.extend(map(str, range(len(bpe.names))))
     line = " ".join(map(_DECIMAL.__getitem__, ids))
-    return n, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    return len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:

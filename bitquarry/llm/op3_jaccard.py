@@ -13,8 +13,8 @@ bounds is verified on the sets.
 3. The exact part: two sets over the threshold share a token among the first ``n - ceil(t n) + 1``
    of each, in any order common to all (frequent tokens last, then by hash). Tokens of one
    component alone are summed away before and while they are shuffled; for the others the sets meet
-   by token, R-trees find the candidate pairs of different components, and these are verified.
-   Final components join these links to the former.
+   by token, R-trees find the candidate pairs of different components, and these are verified: a few
+   of each two components first, then, with the components that this leaves, all of them.
 
 Links within a component found in 1 and 2 are not listed again, for they change nothing.
 
@@ -41,6 +41,8 @@ from bitquarry.llm.text import NOT_SPACE, distinct_by_row, mix, shingles, words
 
 WORDS, PERCENT = 4, 85
 LEAF, MINS = 64, 4
+#: Pairs of two components that a task lists before it is known whether the components are one.
+FEW = 4
 #: Groups for sets of fewer shingles than stated: the bound stays sharp while sets have few shingles a group.
 GROUPS = ((4096, 128), (32768, 1024), (1 << 62, 8192))
 #: Bytes of text cut at once; bytes whose sets a task joins with each other in step 1.
@@ -271,10 +273,10 @@ def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, measure: Jacca
     return saved(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
-def candidates(nodes: DataFrame, measure: Jaccard) -> DataFrame:
-    """Step 3: pairs of nodes of different components that share a prefix token and that R-trees leave.
+def met_tokens(nodes: DataFrame) -> DataFrame:
+    """token, row: the prefix tokens that nodes of more than one component have, written out.
 
-    ``nodes``: row, node, label (a row), n, vector, prefix. Tokens are cut to 48 bits here and nodes go
+    ``nodes``: row, label, prefix. Tokens are cut to 48 bits here and nodes go
     by row, for less to shuffle; that two tokens fall together makes a candidate more at worst.
     """
 
@@ -297,20 +299,40 @@ def candidates(nodes: DataFrame, measure: Jaccard) -> DataFrame:
         return nodes.select(other, "prefix").mapInArrow(run, f"token long, {other} long")
 
     mixed = exploded("label").groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    met = exploded("row").join(saved(mixed, "mixed-tokens"), "token").join(nodes.select("row", "node", "label", "n", "vector"), "row")
+    return saved(exploded("row").join(saved(mixed, "mixed-tokens"), "token"), "met-tokens")
+
+
+def candidates(met: DataFrame, nodes: DataFrame, measure: Jaccard, few: int = 0) -> DataFrame:
+    """Step 3: pairs of nodes of different components that share a token and that R-trees leave.
+
+    ``nodes``: row, node, label, n, vector. With ``few`` each task lists so many pairs of two components
+    at most: those that link are one component before the others are listed in full.
+    """
+    labels = met.join(nodes.select("row", "label"), "row")
+    mixed = saved(labels.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token"), "mixed-tokens")
+    met = met.join(mixed, "token").join(nodes.select("row", "node", "label", "n", "vector"), "row")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by token, then size; the forest of a token holds what came before."""
-        token, forest, held, codes, found = None, None, [], {}, set()
+        token, forest, held, codes, found, listed = None, None, [], {}, set(), {}
         for b in batches:
             for t, node, label, n, vector in zip(*(b.column(c).to_pylist() for c in ("token", "node", "label", "n", "vector")), strict=True):
                 p = np.frombuffer(vector, np.uint16)
                 if t != token:
                     token, forest, held, codes = t, CountForest(measure), [], {}
                 code = codes.setdefault(label, len(codes))
-                found.update((min(node, held[c]), max(node, held[c])) for c in forest.near(p, n, code))
+                for c in forest.near(p, n, code):
+                    other, its = held[c]
+                    if few:
+                        both = (min(label, its), max(label, its))
+                        listed[both] = listed.get(both, 0) + 1
+                        if listed[both] > few:
+                            continue
+                    found.add((min(node, other), max(node, other)))
                 forest.add(p, n, code)
-                held.append(node)
+                held.append((node, label))
+                if len(listed) > 1 << 20:
+                    listed = {}
                 if len(found) >= 1 << 17:
                     yield _pairs(found)
                     found = set()
@@ -342,9 +364,14 @@ def jaccard_components(docs: DataFrame, measure: Jaccard = Jaccard(), id_col: st
     nodes, nodes_path = saved_paths(own.select("row", "n", "vector", "prefix").join(saved(labelled, "labelled"), "row"), "points")
     own = saved(own.select("doc_id", "n", "node"), "own")
     discard(spark, own_path)
-    more = verified(candidates(nodes, measure), docs, texts, measure, id_col, text_col)
+    met = met_tokens(nodes)
+    points = nodes.select("row", "node", "label", "n", "vector")
+    for few in (FEW, 0):
+        links = saved(links.unionByName(verified(candidates(met, points, measure, few), docs, texts, measure, id_col, text_col)), "links")
+        labels = components(links)
+        points = nodes.select("row", "node", "n", "vector").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     discard(spark, nodes_path)
-    named = saved(sets.join(components(links.unionByName(more)), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id"), "named")
+    named = saved(sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id"), "named")
     least = saved(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     of = saved(named.join(least, "label").select("node", "component_id"), "component-ids")
     out = own.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of, "node", "left")

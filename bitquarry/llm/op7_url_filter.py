@@ -4,8 +4,9 @@ Rules decide the URLs they fit; those decisions are the models' training text, a
 rejected. Each model is a Markov model of variable order over bytes: order 0 to 5, each order
 smoothed by the next lower one, ``p_k(c) = (n(ctx c) + s p_{k-1}(c)) / (n(ctx) + s)``. Counts are
 gathered over all rule-decided URLs but every tenth (by page id), which calibrate the bound:
-a URL is blocked if its length-normalised log-likelihood difference is over it. Counts live in
-a hashed table of 2^20 slots for each class: that bounds what reaches the driver and each task.
+a URL is blocked if its length-normalised log-likelihood difference is over it. An n-gram's key holds
+its order and bytes, so each is counted for itself. The counts are a table in the shared folder, which
+tasks read in blocks, keeping the n-grams of the URLs at hand: no task and no driver holds all of it.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and, as an
 empty text, is allowed; without training text of both classes everything undecided is allowed;
@@ -20,14 +21,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as pads
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import flat_bytes, sliced
+from bitquarry.llm.common import filesystem, flat_bytes, saved_paths, sliced
 
 #: (host, path prefix, verdict); a rule's name is host and path together.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-ORDER, SLOTS, SMOOTH = 5, 1 << 20, 4.0
+ORDER, SMOOTH = 5, 4.0
+#: Text bytes that are counted or scored at once, and n-grams of a block of the written counts.
+BATCH, BLOCK = 1 << 19, 1 << 18
+#: Slots of a table without keys, as ``count`` and ``log_likelihood`` take for a few small texts.
+SLOTS = 1 << 20
 #: The bound is sought on a grid of this many steps between -RANGE and RANGE nats a byte.
 STEPS, RANGE = 4096, 8.0
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -55,43 +61,58 @@ def with_rules(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
 
 def grams(flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: positions that have a context so long, the slots of context and byte, and the slots of the context."""
+    """For each order: positions that have a context so long, the keys of context and byte, and the keys of the context.
+
+    A key is the order, a bit that tells both kinds apart, and the bytes: no two n-grams share one.
+    """
     place = np.arange(len(flat)) - np.repeat(offsets[:-1], np.diff(offsets))
-    context = np.full(len(flat), 7, np.uint64)
-    byte = flat.astype(np.uint64) + np.uint64(1)
+    byte = flat.astype(np.int64)
+    context = np.zeros(len(flat), np.int64)
     for k in range(ORDER + 1):
         if k:
-            shifted = np.zeros(len(flat), np.uint64)
-            shifted[k:] = byte[:-k] if k < len(flat) + 1 else 0
-            context = (context ^ shifted) * _M
-            context ^= context >> np.uint64(29)
+            context[k:] |= byte[:-k] << (8 * (k - 1))
         at = np.flatnonzero(place >= k)
         c = context[at]
-        both = (c + byte[at] * np.uint64(0xD6E8FEB86659FD93)) * _M
-        alone = (c ^ np.uint64(0x5851F42D4C957F2D)) * _M
-        yield at, (both >> np.uint64(44)).astype(np.int64) % SLOTS, (alone >> np.uint64(44)).astype(np.int64) % SLOTS
+        yield at, (2 * k + 1) << 48 | c << 8 | byte[at], (2 * k) << 48 | c
+
+
+def slots(wanted: np.ndarray, keys: np.ndarray | None, n: int) -> np.ndarray:
+    """Where a table of ``n`` counts has these n-grams: at their places in its sorted ``keys``, or hashed if it has none."""
+    if keys is not None:
+        return np.searchsorted(keys, wanted)
+    return ((wanted.astype(np.uint64) * _M) >> np.uint64(44)).astype(np.int64) % n
 
 
-def count(flat: np.ndarray, offsets: np.ndarray, into: np.ndarray) -> None:
+def count(flat: np.ndarray, offsets: np.ndarray, into: np.ndarray, keys: np.ndarray | None = None) -> None:
     for _, both, alone in grams(flat, offsets):
-        into += np.bincount(both, minlength=SLOTS)
-        into += np.bincount(alone, minlength=SLOTS)
+        into += np.bincount(slots(both, keys, len(into)), minlength=len(into))
+        into += np.bincount(slots(alone, keys, len(into)), minlength=len(into))
 
 
-def log_likelihood(flat: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of each text, summed over its bytes."""
-    p = np.full(len(flat), 1 / 256)
+def log_likelihood(flat: np.ndarray, offsets: np.ndarray, counts: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """Of each text, summed over its bytes; for each row of ``counts``, if it has rows."""
+    p = np.full((*counts.shape[:-1], len(flat)), 1 / 256)
     for at, both, alone in grams(flat, offsets):
-        p[at] = (counts[both] + SMOOTH * p[at]) / (np.maximum(counts[alone], counts[both]) + SMOOTH)
-    total = np.concatenate([[0.0], np.cumsum(np.log(p))])
-    return total[offsets[1:]] - total[offsets[:-1]]
+        n, of = counts[..., slots(both, keys, counts.shape[-1])], counts[..., slots(alone, keys, counts.shape[-1])]
+        p[..., at] = (n + SMOOTH * p[..., at]) / (np.maximum(of, n) + SMOOTH)
+    total = np.concatenate([np.zeros((*counts.shape[:-1], 1)), np.cumsum(np.log(p), axis=-1)], axis=-1)
+    return total[..., offsets[1:]] - total[..., offsets[:-1]]
+
+
+def keys_of(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The distinct keys of all n-grams of these texts, sorted."""
+    return np.unique(np.concatenate([np.unique(k) for _, both, alone in grams(flat, offsets) for k in (both, alone)]))
 
 
-def ratio(flat: np.ndarray, offsets: np.ndarray, rejected: np.ndarray, accepted: np.ndarray) -> np.ndarray:
-    """Log-likelihood as a rejected text less that as an accepted one, for each byte; 0 for empty texts."""
-    if not rejected.any() or not accepted.any():
+def ratio(flat: np.ndarray, offsets: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Log-likelihood as a rejected text (row 0) less that as an accepted one (row 1), for each byte; 0 for empty texts.
+
+    Key 0, the empty context, counts all bytes of a class: without any, there is nothing to compare.
+    """
+    if not len(flat) or not counts[:, 0].all():
         return np.zeros(len(offsets) - 1)
-    return (log_likelihood(flat, offsets, rejected) - log_likelihood(flat, offsets, accepted)) / np.maximum(np.diff(offsets), 1)
+    rejected, accepted = log_likelihood(flat, offsets, counts, keys)
+    return (rejected - accepted) / np.maximum(np.diff(offsets), 1)
 
 
 def calibrated(histogram: dict[tuple[int, str], int]) -> float:
@@ -107,38 +128,45 @@ def calibrated(histogram: dict[tuple[int, str], int]) -> float:
     return float(bounds[best[np.argmin(np.abs(bounds[best]))]])
 
 
-def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the rejected and the accepted model over all rule-decided rows but every tenth."""
+def fit(rows: DataFrame) -> str:
+    """Counts of the rejected and the accepted model over all rows, as a table in the shared folder: its path."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {"block": np.zeros(SLOTS, np.int64), "allow": np.zeros(SLOTS, np.int64)}
-        for b in sliced(batches, "text", 1 << 20):
-            for verdict, into in counts.items():
-                own = b.filter(pc.equal(b.column("rule_verdict"), verdict))
-                count(*flat_bytes(own.column("text")), into)
-        slots = np.flatnonzero(counts["block"] + counts["allow"])
-        for i in range(0, len(slots), 1 << 16):
-            s = slots[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(counts["block"][s]), pa.array(counts["allow"][s])], names=["slot", "block", "allow"])
-
-    sums = rows.mapInArrow(gather, "slot long, block long, allow long").groupBy("slot").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
-    table = sums.toArrow()  # SLOTS rows at most, whatever the input
-    out = np.zeros((2, SLOTS))
-    slots = table.column("slot").to_numpy()
-    out[0, slots], out[1, slots] = table.column("block").to_numpy(), table.column("allow").to_numpy()
-    return out[0], out[1]
+        for b in sliced(batches, "text", BATCH):
+            keys = keys_of(*flat_bytes(b.column("text")))
+            counts = np.zeros((2, len(keys)), np.int64)
+            for row, verdict in enumerate(("block", "allow")):
+                count(*flat_bytes(b.filter(pc.equal(b.column("rule_verdict"), verdict)).column("text")), counts[row], keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[0]), pa.array(counts[1])], names=["key", "block", "allow"])
+
+    sums = rows.mapInArrow(gather, "key long, block long, allow long").groupBy("key").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+    return saved_paths(sums, "url-models")[1]
+
+
+def blocks(path: str) -> Iterator[np.ndarray]:
+    """The written counts, so many n-grams at a time: rows of keys, rejected and accepted."""
+    fs, at = filesystem(path)
+    for b in pads.dataset(at, filesystem=fs, format="parquet").to_batches(columns=["key", "block", "allow"], batch_size=BLOCK):
+        if b.num_rows:
+            yield np.stack([b.column(c).to_numpy() for c in ("key", "block", "allow")])
 
 
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score (the log-likelihood difference a byte)."""
-    spark = pages.sparkSession
     rows = with_rules(pages, rules, id_col, url_col).withColumn("text", F.concat("host", "path"))
     decided = rows.where("rule_verdict is not null").select("text", "rule_verdict", (F.coalesce(F.pmod("page_id", F.lit(10)), F.lit(1)) == 0).alias("held"))
-    model = spark.sparkContext.broadcast(fit(decided.where("not held").select("text", "rule_verdict")))
+    model = fit(decided.where("not held").select("text", "rule_verdict"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 1 << 20):
-            score = ratio(*flat_bytes(b.column("text")), *model.value)
+        for b in sliced(batches, "text", BATCH):
+            flat, offsets = flat_bytes(b.column("text"))
+            keys = keys_of(flat, offsets)
+            counts = np.zeros((2, len(keys)), np.int64)
+            for block in blocks(model) if len(keys) else ():
+                at = np.minimum(np.searchsorted(keys, block[0]), len(keys) - 1)
+                own = keys[at] == block[0]
+                counts[:, at[own]] = block[1:, own]
+            score = ratio(flat, offsets, counts, keys)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "score"])
 
     bins = (

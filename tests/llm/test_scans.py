@@ -235,3 +235,34 @@ def test_url_likelihood_is_the_models(spark):
             p = (both[c, query[i]] + op7_url_filter.SMOOTH * p) / (alone[c] + op7_url_filter.SMOOTH)
         total += math.log(p)
     assert abs(op7_url_filter.log_likelihood(*flat_bytes(pa.array([query])), counts)[0] - total) < 1e-9
+
+
+def test_url_ngrams_have_a_count_each():
+    rng = random.Random(5)
+    flat, offsets = flat_bytes(pa.array(["".join(rng.choices(string.printable + "é日", k=rng.randint(0, 60))) for _ in range(3_000)]))
+    seen = {}
+    data = flat.tobytes()
+    for k, (at, both, alone) in enumerate(op7_url_filter.grams(flat, offsets)):
+        for i, x, y in zip(at.tolist()[::7], both.tolist()[::7], alone.tolist()[::7], strict=True):
+            assert seen.setdefault(x, (k, data[i - k : i + 1], 1)) == (k, data[i - k : i + 1], 1)
+            assert seen.setdefault(y, (k, data[i - k : i], 0)) == (k, data[i - k : i], 0)
+
+
+def test_url_counts_of_many_ngrams_are_exact(spark):
+    import pyarrow.parquet as pq
+
+    from bitquarry.llm.common import filesystem
+
+    rng = random.Random(6)
+    texts = [("".join(rng.choices(string.ascii_lowercase, k=40)), rng.choice(["block", "allow"])) for _ in range(9_000)]
+    fs, at = filesystem(op7_url_filter.fit(spark.createDataFrame(texts, "text string, rule_verdict string")))
+    got = {r["key"]: (r["block"], r["allow"]) for r in pq.read_table(at, filesystem=fs).to_pylist()}
+    assert len(got) > op7_url_filter.SLOTS  # they would share the slots of one table
+    want = {}
+    for t, verdict in texts:
+        for i in range(len(t)):
+            for k in range(min(i, op7_url_filter.ORDER) + 1):
+                for bit, gram in ((1, t[i - k : i + 1]), (0, t[i - k : i])):
+                    n = want.setdefault((2 * k + bit) << 48 | int.from_bytes(gram.encode(), "big"), [0, 0])
+                    n[verdict == "allow"] += 1
+    assert got == {k: tuple(n) for k, n in want.items()}

@@ -1,16 +1,16 @@
 """Operator 7: URL filter by the ratio of two character language models.
 
 Rules decide the URLs they fit; those decisions are the models' training text, accepted and
-rejected. Each model is a Markov model of variable order over bytes: order 0 to 5, each order
-smoothed by the next lower one, ``p_k(c) = (n(ctx c) + s p_{k-1}(c)) / (n(ctx) + s)``. Counts are
+rejected, whole: scheme, query and fragment too. Each model is a Markov model of variable order over
+bytes: order 0 to 5, each order smoothed by the next lower one, ``p_k(c) = (n(ctx c) + s p_{k-1}(c)) / (n(ctx) + s)``. Counts are
 gathered over all rule-decided URLs but every tenth (by page id), which calibrate the bound:
 a URL is blocked if its length-normalised log-likelihood difference is over it. An n-gram's key holds
 its order and bytes, so each is counted for itself. The counts are a table in the shared folder, which
 tasks read in blocks, keeping the n-grams of the URLs at hand: no task and no driver holds all of it.
 
-Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and, as an
-empty text, is allowed; without training text of both classes everything undecided is allowed;
-repeated rows are judged alike and count as often as they come; other columns are not looked at.
+Defined cases: a null URL or one without ``://`` has an empty host and path and fits no rule; a null or
+empty one, as an empty text, is allowed; without training text of both classes everything undecided is
+allowed; repeated rows are judged alike and count as often as they come; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -48,10 +48,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def with_rules(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, rule_verdict."""
+    """page_id, host, path, text (the whole URL), rule, rule_verdict."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("__url"))
     host, path = host_and_path(F.col("__url"))
-    rows = rows.select("page_id", host.alias("host"), path.alias("path"))
+    rows = rows.select("page_id", host.alias("host"), path.alias("path"), F.col("__url").alias("text"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):  # the longest is asked first
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
@@ -153,7 +153,7 @@ def blocks(path: str) -> Iterator[np.ndarray]:
 
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score (the log-likelihood difference a byte)."""
-    rows = with_rules(pages, rules, id_col, url_col).withColumn("text", F.concat("host", "path"))
+    rows = with_rules(pages, rules, id_col, url_col)
     decided = rows.where("rule_verdict is not null").select("text", "rule_verdict", (F.coalesce(F.pmod("page_id", F.lit(10)), F.lit(1)) == 0).alias("held"))
     model = fit(decided.where("not held").select("text", "rule_verdict"))
 
@@ -174,7 +174,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
         .groupBy(F.least(F.lit(STEPS), F.greatest(F.lit(0), F.floor((F.col("score") + RANGE) * (STEPS / (2 * RANGE))))).cast("int").alias("bin"), "rule_verdict").count()
     )
     bound = calibrated({(r["bin"], r["rule_verdict"]): r["count"] for r in bins.collect()})
-    out = rows.mapInArrow(scored, "page_id long, host string, path string, rule string, rule_verdict string, text string, score double")
+    out = rows.mapInArrow(scored, "page_id long, host string, path string, text string, rule string, rule_verdict string, score double")
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > bound, "block").otherwise("allow"))
     verdict = F.when(F.col("rule_verdict").isNull() & (F.col("text") == ""), "allow").otherwise(verdict)
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -266,3 +266,15 @@ def test_url_counts_of_many_ngrams_are_exact(spark):
                     n = want.setdefault((2 * k + bit) << 48 | int.from_bytes(gram.encode(), "big"), [0, 0])
                     n[verdict == "allow"] += 1
     assert got == {k: tuple(n) for k, n in want.items()}
+
+
+def test_url_models_read_whole_urls(spark):
+    rng = random.Random(10)
+    bad, good = (lambda: f"?{rng.choice(['casino', 'pills'])}={rng.randint(1, 999)}#spin"), (lambda: f"?{rng.choice(['roses', 'museum'])}={rng.randint(1, 999)}#read")
+    urls = [f"http://a.net/fr/{bad()}" for _ in range(200)] + [f"http://a.org/fr/{good()}" for _ in range(200)]
+    urls += [f"http://a.info/fr/{bad()}" for _ in range(50)] + [f"http://a.info/fr/{good()}" for _ in range(50)]
+    urls += [f"a.info/fr/{bad()}" for _ in range(50)] + [f"a.info/fr/{good()}" for _ in range(50)]  # without a scheme
+    got = {r.page_id: r for r in op7_url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    for start, verdict in ((400, "block"), (450, "allow"), (500, "block"), (550, "allow")):
+        assert sum(got[i].verdict == verdict for i in range(start, start + 50)) >= 48
+    assert {(got[i].host, got[i].path) for i in range(500, 600)} == {("", "")}

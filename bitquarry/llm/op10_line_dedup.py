@@ -11,8 +11,9 @@ at the places that the edits left and right of the segment allow. Lines that mee
 by Spark's edit distance with a threshold, which fills a band of the matrix only.
 
 Defined cases: null texts stay null and have no lines; shorter and empty lines always stay; rows that
-repeat a document id hold the same places, so equal lines of theirs at one place stay together;
-rows with a null id count as standing before all others; an empty table gives an empty result;
+repeat a document id hold the same places, so equal lines of theirs at one place stay together, but
+each row loses only its own late lines: a document is known by its id and its text's hash; rows with
+a null id count as standing before all others; an empty table gives an empty result;
 other columns are kept by ``dedup_lines`` and not looked at.
 """
 
@@ -58,11 +59,16 @@ def probe_keys(line: Column, length: Column, edits: int, least: int) -> Column:
     return F.array(*keys)
 
 
+def text_key(text_col: str) -> Column:
+    """Tells rows apart that share a document id or have none; rows with the same text have the same lines."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """doc_id, place, line, and the line's two hashes, of lines long enough."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).where(F.char_length("line") >= least)
-    return rows.select("doc_id", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line", F.octet_length("line")).alias("h2"))
+    """doc_id, own (the text's key), place, line, and the line's two hashes, of lines long enough."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("own")).where("text is not null")
+    rows = rows.select("doc_id", "own", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).where(F.char_length("line") >= least)
+    return rows.select("doc_id", "own", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line", F.octet_length("line")).alias("h2"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -83,7 +89,7 @@ def near_pairs(distinct: DataFrame, edits: int, least: int) -> DataFrame:
 
 
 def late_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and place of each line that goes."""
+    """doc_id, own and place of each line that goes."""
     lines = lines_of(docs, id_col, text_col, least)
     distinct = distinct_lines(lines)
     a = distinct.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("x").alias("a"))
@@ -96,24 +102,24 @@ def late_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col:
     # A line's fate is its first copy's: copies carry only their hashes and places from here on.
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("copies"))
     fate = firsts.join(late, ["h1", "h2"], "left").where("near or copies > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    places = lines.select("h1", "h2", "doc_id", "place")
+    places = lines.select("h1", "h2", "doc_id", "own", "place")
     gone = places.join(fate, ["h1", "h2"]).where(F.col("near") | ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
-    return gone.select("doc_id", "place")
+    return gone.select("doc_id", "own", "place")
 
 
 def removed(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """__id and __gone, the sorted places of the lines that go, of each document that loses any.
+    """__id, __own (the text's key) and __gone, the sorted places of the lines that go, of each document that loses any.
 
     The array has at most one entry for each line of the document.
     """
     gone = late_lines(docs, edits, least, id_col, text_col).distinct()
-    return gone.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list("place")).alias("__gone"))
+    return gone.groupBy(F.col("doc_id").alias("__id"), F.col("own").alias("__own")).agg(F.array_sort(F.collect_list("place")).alias("__gone"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their late lines taken out; all columns stay as they are but the text."""
     gone = removed(docs, edits, least, id_col, text_col)
-    both = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
+    both = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__own")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
@@ -124,9 +130,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, and the removed lines' numbers (from 0), comma-joined."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone = removed(docs)
-    sizes = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    sizes = docs.select("doc_id", text_key("text").alias("own"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    both = sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    both = sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("own") == F.col("__own")), "left")
     return both.select("doc_id", "n_lines", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("__gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 

@@ -195,3 +195,14 @@ def test_line_dedup_odd_tables(spark, odd, empty, odd_texts, tmp_path):
     assert got == sorted([(2, ""), (2, ""), (None, line + "!"), (5, "")], key=str)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in op10_line_dedup(spark, str(tmp_path)).where("doc_id is not null").collect()) == [(2, 1, 1, "0"), (2, 1, 1, "0"), (5, 1, 1, "0")]
+
+
+@pytest.mark.parametrize("shared", [None, 3])
+def test_line_dedup_rows_that_share_an_id_lose_their_own_lines(spark, shared, tmp_path):
+    a1, a2, b1, c1 = (word * 7 for word in ("clean ", "alone ", "twice ", "early "))
+    texts, ids = [f"{a1}\n{a2}", f"{b1}\n{b1}", f"{c1}\n{a2[::-1]}", c1], [shared, shared, shared, 9]
+    df = table(spark, texts, ids)
+    assert sorted(r.text for r in dedup_lines(df).collect()) == sorted([texts[0], b1, texts[2], ""])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in op10_line_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(shared, 2, 0, ""), (shared, 2, 1, "1"), (shared, 2, 0, ""), (9, 1, 1, "0")], key=str)

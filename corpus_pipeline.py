@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``; each works on what its predecessor kept.
 
-Documents are known by doc_id: where rows repeat one, the near-duplicate stage keeps the first by
-text. Rows with a null id are judged by every stage but kept by those that name documents to drop.
+Rows are judged by their own text, whatever their doc_id: rows that repeat one or have none are told apart by
+the text's hash. Of rows alike in both the near-duplicate stage keeps one (without an id and with an empty set: all).
 All stages but the last return the columns of ``documents`` (and any others that came with them).
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitquarry.llm.common import saved
@@ -32,21 +32,33 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*(n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with __row, a number for each doc_id and text, in the order of ids (null last); written, so that it stays."""
+    known = docs.select(F.col("doc_id").alias("__id"), text_hash().alias("__text")).distinct()
+    rows = saved(known.orderBy(F.col("__id").asc_nulls_last(), "__text").withColumn("__row", F.monotonically_increasing_id()), "rows")
+    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__text"))).drop("__id", "__text")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents alike in 0.8 of their five-word shingles, the one with the smallest id."""
-    found = jaccard_components(docs, Jaccard(words=5, percent=80))
-    kept = saved(found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    rows = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left").where("__kept is not null or doc_id is null")
-    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    first = F.row_number().over(Window.partitionBy("doc_id", "__alone").orderBy("text"))
-    return rows.withColumn("__alone", alone).withColumn("__row", first).where("__row = 1 or doc_id is null").select(*docs.columns)
+    columns, docs = docs.columns, saved(numbered(docs), "numbered")
+    found = jaccard_components(docs, Jaccard(words=5, percent=80), id_col="__row")
+    kept = saved(found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"), (F.col("n_shingles") == 0).alias("__bare")).distinct(), "kept")
+    rows = docs.join(kept, F.col("__row") == F.col("__kept"))
+    first = F.row_number().over(Window.partitionBy("__row", "__alone").orderBy("__row"))
+    alone = F.when(F.col("doc_id").isNull() & F.col("__bare"), F.monotonically_increasing_id())
+    return rows.withColumn("__alone", alone).withColumn("__first", first).where("__first = 1").select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents of which a twentieth or more of the words are passages of ``benchmark``."""
-    found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find_overlaps(docs.withColumn("__text", text_hash()), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__text")
     gone = saved(found.where(contaminated()).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(gone, text_hash() == F.col("__gone"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

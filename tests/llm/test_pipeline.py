@@ -74,3 +74,14 @@ def test_stages(spark, sf):
         seen.append(len(after))
         before = after
     assert sorted(r.doc_id or -1 for r in p.run(spark, d).select("doc_id").collect()) == sorted(r.doc_id or -1 for r in before)
+
+
+def test_rows_are_judged_by_their_own_text(spark, tmp_path):
+    passage, one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "pabc")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, one), (None, one + " end"), (None, two), (None, two + " end"), (None, None), (None, None), (2, three), (2, one + " tail"), (2, passage), (None, passage + " end"), (7, two)]
+    schema = "doc_id long, text string"
+    got = {(r.doc_id, r.text) for r in p.drop_contaminated(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()}
+    assert got == {r for r in rows if not (r[1] or "").startswith("p0")}
+    got = sorted(((r.doc_id, r.text) for r in p.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, one), (7, two), (2, three), (2, passage), (None, None), (None, None)], key=str)

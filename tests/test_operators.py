@@ -5,8 +5,8 @@ import tempfile
 
 import duckdb
 import pytest
-from conftest import SF
 from pyspark.sql import functions as F
+from tables import SF
 
 from bitquarry import queries
 from bitquarry.operators import search

@@ -7,8 +7,12 @@ different line whose first copy stands earlier; so of each family of lines the f
 Exact copies fold first, by a 128-bit hash, with partial sums before the shuffle. Each distinct line
 is then cut into ``edits + 1`` segments: ``edits`` edits leave one of them whole. Segments are
 indexed by number, line length and hash; each line probes the lengths from ``edits`` below its own,
-at the places that the edits left and right of the segment allow. Lines that meet there are verified
-by Spark's edit distance with a threshold, which fills a band of the matrix only.
+at the places that the edits left and right of the segment allow. Its own segments are both index and
+probe, so that keys are shuffled once. Keys that one line alone has go there and then; for the few lines that are left a
+64-bit signature is made (the parity of their character pairs by hash: an edit turns 4 bits at most), and lines that
+meet at a key are compared where their signatures allow the edits, by a banded bit-parallel
+edit distance: the diagonals of the band are the bits of a word, one word for each number of edits. No pair is listed
+but those that pass; comparing signatures at a key of m lines takes m * m / 2 word operations.
 
 Defined cases: null texts stay null and have no lines; shorter and empty lines always stay; rows that
 repeat a document id hold the same places, so equal lines of theirs at one place stay together, but
@@ -19,7 +23,7 @@ other columns are kept by ``dedup_lines`` and not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EDITS, LEAST = 2, 20
@@ -41,12 +45,11 @@ def _key(i: int, length: Column, piece: Column) -> Column:
     return F.xxhash64(F.lit(i), length, piece)
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*(_key(i, length, F.substring(line, at + 1, size)) for i, (at, size) in enumerate(segments(length, edits))))
+def keys_of(line: Column, length: Column, edits: int, least: int) -> Column:
+    """(key, probe) of all substrings that may be a whole segment of a line within the edits, no longer than this one.
 
-
-def probe_keys(line: Column, length: Column, edits: int, least: int) -> Column:
-    """Keys of all substrings that may be a whole segment of an indexed line within the edits, no longer than this one."""
+    probe is 0 for the line's own segments, by which it is found, and 1 for places where it only looks.
+    """
     keys = []
     for less in range(edits + 1):
         other = length - less
@@ -55,20 +58,71 @@ def probe_keys(line: Column, length: Column, edits: int, least: int) -> Column:
             for move in range(low, high + 1):
                 start = at + move
                 fits = (other >= least) & (start >= 0) & (start + size <= length)
-                keys.append(F.when(fits, _key(i, other, F.substring(line, start + 1, size))))
+                probe = F.lit(int(less > 0 or move != 0)).cast("byte").alias("probe")
+                keys.append(F.struct(F.when(fits, _key(i, other, F.substring(line, start + 1, size))).alias("key"), probe))
     return F.array(*keys)
 
 
+def signature(line: Column) -> Column:
+    """64 bits, each the parity of how often a line has the character pairs of that hash; an edit turns 4 bits at most."""
+    chars = F.split(line, "")
+    pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(a, b), F.lit(64))))
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda out, bit: out.bitwiseXOR(bit))
+
+
+def within_edits(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines, neither null, are within the edits: banded and bit-parallel.
+
+    Bit ``d`` of word ``e`` says that some beginning of b, ``d - edits`` characters longer than what is read of a, is
+    within ``e`` edits of it; the words stand in one number, ``wide`` bits each. A character of a moves all diagonals at once:
+    equal characters keep a bit, a replaced, left out or added one carries it to the next word.
+    """
+    wide = 2 * edits + 1
+    band, words = (1 << wide) - 1, edits + 1
+    n, m = F.char_length(a), F.char_length(b)
+    num = lambda x: F.lit(x).cast("long")
+    each = lambda x: sum(x << (wide * e) for e in range(words))
+    # Characters of a beside those of b on each diagonal; nothing is equal to a null.
+    none = F.array_repeat(F.lit(None).cast("string"), 2 * edits)
+    padded = F.concat(F.slice(none, 1, edits), F.split(b, ""), none)
+    beside = F.arrays_zip(F.split(a, ""), *(F.slice(padded, d + 1, n) for d in range(wide)))
+
+    def added(state: Column) -> Column:
+        """Characters of b alone: from word to word, one diagonal up for each."""
+        out = state
+        for k in range(1, words):
+            out = out.bitwiseOR(F.shiftleft(state.bitwiseAND(num(sum((band >> k) << (wide * e) for e in range(words - k)))), k * (wide + 1)))
+        return out
+
+    def step(state: Column, at: Column) -> Column:
+        same = num(0)
+        for d in range(wide):
+            same = same + F.when(at.getField("0") == at.getField(str(d + 1)), num(each(1 << d))).otherwise(num(0))
+        carried = state.bitwiseOR(F.shiftright(state.bitwiseAND(num(each(band & ~1))), 1)).bitwiseAND(num((1 << wide * edits) - 1))
+        once = F.array(state.bitwiseAND(same).bitwiseOR(F.shiftleft(carried, wide)))  # an array gives the value a name
+        return F.get(F.transform(once, added), 0)
+
+    start = 0
+    for e in range(words):
+        for d in range(edits, edits + e + 1):
+            start |= 1 << (wide * e + d)
+    # Lengths further apart than the edits leave the band.
+    end = F.aggregate(beside, num(start), step)
+    last = F.call_function("shiftright", end, wide * edits + edits + m - n).bitwiseAND(num(1))
+    return F.when(F.abs(n - m) > edits, False).when(n == 0, True).otherwise(last == 1)
+
+
 def text_key(text_col: str) -> Column:
     """Tells rows apart that share a document id or have none; rows with the same text have the same lines."""
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """doc_id, own (the text's key), place, line, and the line's two hashes, of lines long enough."""
+    """doc_id, own (the text's key), place, line, and the line's two hashes (the last bit of the second is 0), of lines long enough."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("own")).where("text is not null")
     rows = rows.select("doc_id", "own", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).where(F.char_length("line") >= least)
-    return rows.select("doc_id", "own", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line", F.octet_length("line")).alias("h2"))
+    second = F.xxhash64(F.lit(1), "line", F.octet_length("line")).bitwiseAND(F.lit(-2).cast("long"))
+    return rows.select("doc_id", "own", "place", "line", F.xxhash64("line").alias("h1"), second.alias("h2"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -79,29 +133,40 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "line")).alias("x"))
 
 
-def near_pairs(distinct: DataFrame, edits: int, least: int) -> DataFrame:
-    """Hashes of pairs of different lines (a, b) that meet in a segment, b no longer than a."""
-    rows = distinct.select("h1", "h2", F.col("x.line").alias("line"), F.char_length("x.line").alias("n"))
-    index = rows.select("h1", "h2", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probe = rows.select("h1", "h2", F.explode(probe_keys(F.col("line"), F.col("n"), edits, least)).alias("key")).where("key is not null")
-    pairs = probe.select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2")).join(index.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2")), "key")
-    return pairs.where("a1 != b1 or a2 != b2").select("a1", "a2", "b1", "b2").distinct()
+def met_lines(distinct: DataFrame, edits: int, least: int) -> DataFrame:
+    """h1, h2, keys (key and probe): the lines that meet another one at a key, each with those keys (a dozen at most for 2 edits)."""
+    line = F.col("x.line")
+    rows = distinct.select("h1", "h2", F.explode(keys_of(line, F.char_length(line), edits, least)).alias("k")).where("k.key is not null")
+    rows = rows.select(F.col("k.key").alias("key"), "h1", F.col("h2").bitwiseOR(F.col("k.probe").cast("long")).alias("h2"))
+    there = Window.partitionBy("key")
+    probe = F.col("h2").bitwiseAND(F.lit(1).cast("long"))
+    both = rows.select("key", "h1", "h2", F.min("h1").over(there).alias("low"), F.max("h1").over(there).alias("high"), F.min(probe).over(there).alias("alone"))
+    met = both.where("low < high and alone = 0").select("h1", F.col("h2").bitwiseAND(F.lit(-2).cast("long")).alias("h2"), F.struct("key", probe.cast("byte").alias("probe")).alias("k"))
+    return met.groupBy("h1", "h2").agg(F.collect_list("k").alias("keys"))
+
+
+def near_lines(distinct: DataFrame, edits: int, least: int) -> DataFrame:
+    """h1, h2 of each distinct line that is near an earlier one."""
+    met = met_lines(distinct, edits, least).join(distinct, ["h1", "h2"])
+    met = met.select("h1", "h2", F.struct("x.doc_id", "x.place").alias("first"), F.col("x.line").alias("line"), signature(F.col("x.line")).alias("bits"), F.explode("keys").alias("k"))
+    met = met.select(F.col("k.key").alias("key"), F.col("k.probe").alias("probe"), "h1", "h2", "first", "line", "bits")
+    # Both sides are whole here and the conditions hold for pairs, so that one exchange serves both; what is cheap is asked first.
+    a, b = met.alias("a"), met.alias("b")
+    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.probe") >= 2 * F.col("b.probe"))
+    other = (F.col("a.h1") != F.col("b.h1")) | (F.col("a.h2") != F.col("b.h2"))
+    alike = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= 4 * edits
+    near = F.when(other & alike, within_edits(F.col("a.line"), F.col("b.line"), edits)).otherwise(False)
+    later = F.when(F.col("a.first") > F.col("b.first"), F.struct("a.h1", "a.h2")).otherwise(F.struct("b.h1", "b.h2"))
+    return a.join(b, meets & near).select(later.alias("later")).select("later.*").distinct()
 
 
 def late_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, own and place of each line that goes."""
     lines = lines_of(docs, id_col, text_col, least)
     distinct = distinct_lines(lines)
-    a = distinct.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("x").alias("a"))
-    b = distinct.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("x").alias("b"))
-    found = near_pairs(distinct, edits, least).join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
-    found = found.where(F.levenshtein("a.line", "b.line", edits) >= 0)
-    place = lambda x: F.struct(f"{x}.doc_id", f"{x}.place")
-    later = F.when(place("a") > place("b"), F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")))
-    late = found.select(later.alias("x")).select("x.*").distinct().withColumn("near", F.lit(True))
+    near = near_lines(distinct, edits, least).withColumn("near", F.lit(True))
     # A line's fate is its first copy's: copies carry only their hashes and places from here on.
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("copies"))
-    fate = firsts.join(late, ["h1", "h2"], "left").where("near or copies > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    fate = distinct.join(near, ["h1", "h2"], "left").select("h1", "h2", F.struct("x.doc_id", "x.place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     places = lines.select("h1", "h2", "doc_id", "own", "place")
     gone = places.join(fate, ["h1", "h2"]).where(F.col("near") | ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
     return gone.select("doc_id", "own", "place")

@@ -7,12 +7,13 @@ from collections import Counter
 import numpy as np
 import pytest
 from llm_tables import table
+from pyspark.sql import functions as F
 
 from bitquarry.llm import op3_jaccard
 from bitquarry.llm.components import components
 from bitquarry.llm.op3_jaccard import CountForest, Jaccard, jaccard_components, point
 from bitquarry.llm.op9_top_k import top_k
-from bitquarry.llm.op10_line_dedup import dedup_lines, op10_line_dedup, removed
+from bitquarry.llm.op10_line_dedup import dedup_lines, op10_line_dedup, removed, signature, within_edits
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -206,3 +207,20 @@ def test_line_dedup_rows_that_share_an_id_lose_their_own_lines(spark, shared, tm
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((tuple(r) for r in op10_line_dedup(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted([(shared, 2, 0, ""), (shared, 2, 1, "1"), (shared, 2, 0, ""), (9, 1, 1, "0")], key=str)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_bit_parallel_band_equals_levenshtein(spark, edits):
+    rng = random.Random(edits)
+    rows = []
+    for _ in range(1500):
+        a = [rng.choice("abé\U0001f600") for _ in range(rng.randint(0, 14))]
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        rows.append(("".join(a), "".join(b)))
+    rows += [("x" * 3000, "x" * 2998 + "yy"), ("", ""), ("", "ab"), ("abcd", "")]
+    apart = F.bit_count(signature(F.col("a")).bitwiseXOR(signature(F.col("b"))))
+    got = spark.createDataFrame(rows, "a string, b string").select(within_edits(F.col("a"), F.col("b"), edits).alias("near"), apart.alias("apart"), F.levenshtein("a", "b").alias("d")).collect()
+    assert all(r.near == (r.d <= edits) for r in got) and all(r.apart <= 4 * r.d for r in got)

@@ -4,7 +4,7 @@ A line (a text's piece between line feeds) of at least ``least`` characters goes
 copy of a line that stands earlier, by document id and line number, or within ``edits`` edits of a
 different line whose first copy stands earlier; so of each family of lines the first one stays.
 
-Exact copies fold first, by a 128-bit hash, with partial sums before the shuffle. Each distinct line
+Exact copies fold first, by a 95-bit hash, with partial sums before the shuffle. Each distinct line
 is then cut into ``edits + 1`` segments: ``edits`` edits leave one of them whole. Segments are
 indexed by number, line length and hash; each line probes the lengths from ``edits`` below its own,
 at the places that the edits left and right of the segment allow. Its own segments are both index and
@@ -118,25 +118,26 @@ def text_key(text_col: str) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """doc_id, own (the text's key), place, line, and the line's two hashes (the last bit of the second is 0), of lines long enough."""
+    """doc_id, own (the text's key), place, line, and the line's two hashes (64 bits, and 31 before a free last one), of lines long enough."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("own")).where("text is not null")
     rows = rows.select("doc_id", "own", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).where(F.char_length("line") >= least)
-    second = F.xxhash64(F.lit(1), "line", F.octet_length("line")).bitwiseAND(F.lit(-2).cast("long"))
+    second = F.xxhash64(F.lit(1), "line", F.octet_length("line")).bitwiseAND(F.lit(0xFFFFFFFE).cast("long"))
     return rows.select("doc_id", "own", "place", "line", F.xxhash64("line").alias("h1"), second.alias("h2"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """h1, h2, x (doc_id and place of the first copy, and the line).
+    """h1, h2, x (doc_id and place of the first copy, and the line), last (doc_id and place of the last copy).
 
-    One value holds all, so that each use of the table has the same plan and Spark shuffles the lines once.
+    Each use asks for both, so that its plan is the same up to here and Spark shuffles the lines once.
     """
-    return lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "line")).alias("x"))
+    place = F.struct("doc_id", "place")
+    return lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "line")).alias("x"), F.max(place).alias("last")).where("last is not null")
 
 
 def met_lines(distinct: DataFrame, edits: int, least: int) -> DataFrame:
     """h1, h2, keys (key and probe): the lines that meet another one at a key, each with those keys (a dozen at most for 2 edits)."""
-    line = F.col("x.line")
-    rows = distinct.select("h1", "h2", F.explode(keys_of(line, F.char_length(line), edits, least)).alias("k")).where("k.key is not null")
+    rows = distinct.select("h1", "h2", F.col("x.line").alias("line"), F.char_length("x.line").alias("n"))
+    rows = rows.select("h1", "h2", F.explode(keys_of(F.col("line"), F.col("n"), edits, least)).alias("k")).where("k.key is not null")
     rows = rows.select(F.col("k.key").alias("key"), "h1", F.col("h2").bitwiseOR(F.col("k.probe").cast("long")).alias("h2"))
     there = Window.partitionBy("key")
     probe = F.col("h2").bitwiseAND(F.lit(1).cast("long"))
@@ -165,10 +166,12 @@ def late_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col:
     lines = lines_of(docs, id_col, text_col, least)
     distinct = distinct_lines(lines)
     near = near_lines(distinct, edits, least).withColumn("near", F.lit(True))
-    # A line's fate is its first copy's: copies carry only their hashes and places from here on.
-    fate = distinct.join(near, ["h1", "h2"], "left").select("h1", "h2", F.struct("x.doc_id", "x.place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    places = lines.select("h1", "h2", "doc_id", "own", "place")
-    gone = places.join(fate, ["h1", "h2"]).where(F.col("near") | ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
+    # A line's fate is its first copy's: copies carry only their hashes and places from here on. Turned hashes are dealt
+    # anew, so that Spark can split the places of a line that very many documents have.
+    fate = distinct.join(near, ["h1", "h2"], "left").select(F.bitwise_not("h1").alias("g1"), "h2", F.struct("x.doc_id", "x.place").alias("first"), "last", F.coalesce("near", F.lit(False)).alias("near"))
+    fate = fate.where(F.col("near") | (F.col("first") != F.col("last"))).drop("last")
+    places = lines.select(F.bitwise_not("h1").alias("g1"), "h2", "doc_id", "own", "place")
+    gone = places.join(fate, ["g1", "h2"]).where(F.col("near") | ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
     return gone.select("doc_id", "own", "place")
 
 

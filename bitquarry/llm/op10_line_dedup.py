@@ -29,38 +29,34 @@ from pyspark.sql import functions as F
 EDITS, LEAST = 2, 20
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, length) of each segment of a line; the last ones take what doesn't divide."""
-    n = edits + 1
-    short, over = F.floor(length / n).cast("int"), (length % n).cast("int")
+def places_to_look(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, characters that the other line is shorter, move) of all places where a segment of a line within the edits may stand."""
     out = []
-    for i in range(n):
-        extra = F.greatest(F.lit(0), over - (n - i))  # characters that longer segments before this one have
-        size = short + F.when(F.lit(i) >= n - over, 1).otherwise(0)
-        out.append((short * i + extra, size))
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+            out += [(i, less, move) for move in range(low, high + 1)]
     return out
 
 
-def _key(i: int, length: Column, piece: Column) -> Column:
-    return F.xxhash64(F.lit(i), length, piece)
-
+def with_keys(rows: DataFrame, edits: int, least: int) -> DataFrame:
+    """Rows with h1, h2, ``line`` and its length ``n`` become key, h1, h2 for each substring that may be a whole segment of a line within the edits, no longer than this one.
 
-def keys_of(line: Column, length: Column, edits: int, least: int) -> Column:
-    """(key, probe) of all substrings that may be a whole segment of a line within the edits, no longer than this one.
-
-    probe is 0 for the line's own segments, by which it is found, and 1 for places where it only looks.
+    The last bit of h2 is 0 for the line's own segments, by which it is found, and 1 for places where it only looks.
+    A line has ``edits + 1`` segments, of which the last ones take what doesn't divide. The places are rows and the key is
+    one expression, so that the compiled code stays small.
     """
-    keys = []
-    for less in range(edits + 1):
-        other = length - less
-        for i, (at, size) in enumerate(segments(other, edits)):
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for move in range(low, high + 1):
-                start = at + move
-                fits = (other >= least) & (start >= 0) & (start + size <= length)
-                probe = F.lit(int(less > 0 or move != 0)).cast("byte").alias("probe")
-                keys.append(F.struct(F.when(fits, _key(i, other, F.substring(line, start + 1, size))).alias("key"), probe))
-    return F.array(*keys)
+    k = edits + 1
+    looks = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(look, ("i", "less", "move"), strict=True))) for look in places_to_look(edits)))
+    rows = rows.select("h1", "h2", "line", "n", F.explode(looks).alias("at")).select("h1", "h2", "line", "n", "at.*")
+    other, i = F.col("n") - F.col("less"), F.col("i")
+    over = F.pmod(other, F.lit(k))
+    short = ((other - over) / k).cast("int")
+    size = short + (i >= k - over).cast("int")
+    start = short * i + F.greatest(F.lit(0), over - (k - i)) + F.col("move")
+    probe = ((F.col("less") != 0) | (F.col("move") != 0)).cast("long")
+    fits = (other >= least) & (start >= 0) & (start + size <= F.col("n"))
+    return rows.where(fits).select(F.xxhash64(i, other, F.substring("line", start + 1, size)).alias("key"), "h1", F.col("h2").bitwiseOR(probe).alias("h2"))
 
 
 def signature(line: Column) -> Column:
@@ -137,8 +133,7 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 def met_lines(distinct: DataFrame, edits: int, least: int) -> DataFrame:
     """h1, h2, keys (key and probe): the lines that meet another one at a key, each with those keys (a dozen at most for 2 edits)."""
     rows = distinct.select("h1", "h2", F.col("x.line").alias("line"), F.char_length("x.line").alias("n"))
-    rows = rows.select("h1", "h2", F.explode(keys_of(F.col("line"), F.col("n"), edits, least)).alias("k")).where("k.key is not null")
-    rows = rows.select(F.col("k.key").alias("key"), "h1", F.col("h2").bitwiseOR(F.col("k.probe").cast("long")).alias("h2"))
+    rows = with_keys(rows, edits, least)
     there = Window.partitionBy("key")
     probe = F.col("h2").bitwiseAND(F.lit(1).cast("long"))
     both = rows.select("key", "h1", "h2", F.min("h1").over(there).alias("low"), F.max("h1").over(there).alias("high"), F.min(probe).over(there).alias("alone"))

@@ -7,8 +7,9 @@ its gradient is turned, so that the model doesn't fit unlabelled toxic texts as
 toxic share of the labelled training rows. The threshold of 0.5 is set on labelled training rows
 that the fit has not seen.
 
-Fit on bounded samples, in order of a hash of the id: at most POSITIVE toxic and UNLABELLED other
-texts; calibration on at most CALIBRATE labelled ones. Scores cover every whole text.
+Fit on bounded samples, by hash of the id: at most POSITIVE toxic texts, UNLABELLED of all training texts whatever
+their label (the risk's prior is that of such a sample), and, to calibrate, at most CALIBRATE labelled texts of a quarter of
+the ids that neither of the others draws on. Scores cover every whole text.
 
 Defined cases: null and empty texts have no words and get the bias's score; several label rows of a
 document count as the largest; null labels count as none; without toxic examples every score is 0;
@@ -17,10 +18,9 @@ repeated rows are scored alike; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,23 +136,33 @@ def with_features(rows: DataFrame, others: str) -> DataFrame:
     return rows.select(*names, "text").mapInArrow(run, f"{others}, words binary")
 
 
+def drawn(rows: DataFrame, most: int, total: int, seed: int) -> DataFrame:
+    """About ``most`` of ``total`` rows with a doc_id, by a hash of it: those below a bound, so that nothing is sorted or shuffled to draw them."""
+    share = min(1.0, most / max(1, total))
+    return rows if share == 1.0 else rows.where(F.xxhash64(F.col("doc_id"), F.lit(seed)) < F.lit(int((2 * share - 1) * (1 << 63))))
+
+
+def samples(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str) -> tuple[DataFrame, float]:
+    """doc_id, part (p: toxic, u: any, c: calibrates), toxic, text; and the toxic share of the labelled rows."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    calibrates = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(4)) == 0
+    n = known.select(F.avg("toxic").alias("p"), F.count_if((F.col("toxic") == 1) & ~calibrates).alias("toxic"), F.count_if(calibrates).alias("check")).first()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).where(usable & F.col("doc_id").isNotNull())
+    positive = drawn(known.where(~calibrates & (F.col("toxic") == 1)), POSITIVE, n["toxic"], 7).select("doc_id", F.lit("p").alias("part"), "toxic")
+    check = drawn(known.where(calibrates), CALIBRATE, n["check"], 7).select("doc_id", F.lit("c").alias("part"), "toxic")
+    labelled = rows.join(F.broadcast(positive.unionByName(check)), "doc_id")  # the samples' bounds bound it
+    anything = drawn(rows.where(~calibrates), UNLABELLED, docs.count() * (1 - 1 / FOLDS) * 0.75, 9).select("doc_id", "text", F.lit("u").alias("part"), F.lit(0).alias("toxic"))
+    both = labelled.unionByName(anything).groupBy("doc_id", "part", "toxic").agg(F.min("text").alias("text"))  # of rows that repeat an id, one
+    return both, n["p"] or 0.0
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[NonNegativePU, float]:
     """A model and its threshold from the documents for which ``usable`` (on doc_id) holds; no label of another is read."""
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(usable & F.col("toxic").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where(usable & F.col("doc_id").isNotNull()).distinct()
-    share = known.agg(F.avg("toxic").alias("p")).first()["p"]
+    rows, share = samples(docs, labels, usable, id_col, text_col)
     if not share:
         return NonNegativePU(0.5), float("inf")
-    by_hash = F.xxhash64(F.col("doc_id"), F.lit(7))
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(4)) == 0  # labelled rows that calibrate
-    there = known.join(ids, "doc_id", "left_semi")
-    positive = there.where("toxic = 1").where(~part).orderBy(by_hash).limit(POSITIVE).select("doc_id", F.lit("p").alias("part"), "toxic")
-    check = there.where(part).orderBy(by_hash).limit(CALIBRATE).select("doc_id", F.lit("c").alias("part"), "toxic")
-    unknown = ids.join(known.where(part | (F.col("toxic") == 1)), "doc_id", "left_anti").orderBy(by_hash).limit(UNLABELLED).select("doc_id", F.lit("u").alias("part"), F.lit(0).alias("toxic"))
-    chosen = positive.unionByName(check).unionByName(unknown)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).join(F.broadcast(chosen), "doc_id")  # the samples' bounds bound it
-    table = with_features(rows, "doc_id long, part string, toxic int").toArrow().combine_chunks().sort_by("doc_id")
+    table = with_features(rows, "doc_id long, part string, toxic int").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("part", "ascending")])
     part_of, toxic = np.array(table.column("part").to_pylist()), table.column("toxic").to_numpy() == 1
     data = table.column("words").to_pylist()
     del table
@@ -167,20 +177,29 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     return model, calibrated(model.margin(*stacked(check)), toxic[check])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1; 0.5 and more: toxic) of every whole text."""
+def scorer(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str) -> Callable[[pa.Array], np.ndarray]:
+    """Trains; the scores of a column of texts without nulls."""
     model, bound = train(docs, labels, usable, id_col, text_col)
     where = np.flatnonzero(model.w)
     sent = docs.sparkSession.sparkContext.broadcast((where, model.w[where], model.bias))  # DIM weights at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: pa.Array) -> np.ndarray:
         at, values, bias = sent.value
         w = np.zeros(DIM)
         w[at] = values
+        index, bounds = features(*flat_bytes(texts))
+        return sigmoid(sums_by_row(w[index], bounds) + bias - bound) if np.isfinite(bound) else np.zeros(len(texts))
+
+    return score
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score (0 to 1; 0.5 and more: toxic) of every whole text."""
+    score = scorer(docs, labels, usable, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
-            index, bounds = features(*flat_bytes(b.column("text")))
-            score = sigmoid(sums_by_row(w[index], bounds) + bias - bound) if np.isfinite(bound) else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score(b.column("text")))], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col))
     return rows.mapInArrow(run, "doc_id long, score double")
@@ -193,21 +212,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that score under 0.5, with all their columns; texts stay in their partitions."""
-    model, bound = train(docs, labels, usable, id_col, text_col)
-    where = np.flatnonzero(model.w)
-    sent = docs.sparkSession.sparkContext.broadcast((where, model.w[where], model.bias))
+    """The documents that score under 0.5, with all their columns; texts stay in their partitions and pass through once."""
+    score = scorer(docs, labels, usable, id_col, text_col)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        at, values, bias = sent.value
-        w = np.zeros(DIM)
-        w[at] = values
-        out = [np.zeros(0)]
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True).fill_null("")], names=["text"])
-        for b in sliced(iter([batch]), "text"):
-            index, bounds = features(*flat_bytes(b.column("text")))
-            out.append(sigmoid(sums_by_row(w[index], bounds) + bias - bound) if np.isfinite(bound) else np.zeros(b.num_rows))
-        return pd.Series(np.concatenate(out))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, text_col):
+            yield b.filter(pa.array(score(b.column(text_col).cast(pa.string()).fill_null("")) < 0.5))
 
-    return docs.where(score(F.col(text_col)) < 0.5)
+    return docs.mapInArrow(run, docs.schema)

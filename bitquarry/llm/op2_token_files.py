@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 import struct
-import unicodedata
 import uuid
 import zlib
 from bisect import bisect_left
@@ -24,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import filesystem, saved, shared_dir, sliced, text_of, write_file
+from bitquarry.llm.common import filesystem, flat_bytes, saved, shared_dir, sliced, text_of, write_file
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 MAGIC, BLOCK, FILE_IDS = b"BPK1", 1 << 13, 1 << 23
 NULL_ID = -(1 << 63)
-#: Entries of a worker's caches of pieces and of their cores, and the longest piece that is kept.
-CACHE, CORES, LONGEST = 600_000, 900_000, 48
+#: Entries of a worker's cache of pieces, the longest piece that is kept, and new pieces in a string; bytes of text cut at once.
+CACHE, LONGEST, JOINED, PIECE = 600_000, 48, 1000, 8 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -116,10 +116,10 @@ class TokenFile:
 class CachedEncoder:
     """The tokenizers library over whole texts, each distinct piece between white space encoded once.
 
-    The file's pre-tokenizer never joins pieces across white space, and starts a new pre-token
-    where a letter or digit is followed by full stops or commas; so pieces are encoded by the
-    library on their own and their ids joined. Texts with the strings of special tokens, or with
-    characters that only Python takes for white space, go to the library whole.
+    The file's normaliser and pre-tokenizer never look across white space, so pieces between blanks, tabs and line ends
+    are encoded by the library apart from their texts and their ids joined; new pieces go to it many in a string, and
+    its offsets tell whose ids are whose. Texts of ASCII alone are lower-cased first, as the normaliser would. Texts
+    with ``<|``, with which special tokens begin, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -129,66 +129,91 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not all(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"special tokens that don't begin with <|: {path}")
+        self.kind = np.dtype("<u2" if self.vocabulary() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2" if self.vocabulary() <= 1 << 16 else "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def odd(self, text: str) -> bool:
-        return any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f")
-
-    @staticmethod
-    def parts(piece: str) -> tuple[str, str]:
-        """The piece's core, in lower case where that is sure to make no difference, and its final stops."""
-        core = piece.rstrip(".,")
-        if not core or not core[-1].isalpha():
-            core = piece
-        tail = piece[len(core) :]
-        if core.isascii() or ("Σ" not in core and "İ" not in core and unicodedata.is_normalized("NFC", core)):
-            core = core.lower()
-        return core, tail
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        pieces: list[list[str] | None] = []
-        for i, t in enumerate(texts):
-            if self.odd(t):
-                out[i] = self.whole([t])[0]
-                pieces.append(None)
-            else:
-                pieces.append(t.split())
-        cache, cores = self.cache, self.cores
-        if len(cache) > CACHE:
-            cache.clear()
-        if len(cores) > CORES:
-            cores.clear()
-        get, coded, new = cache.get, [], set()
-        for p in pieces:
-            got = None if p is None else list(map(get, p))
-            if got is not None and None in got:
-                new.update([x for x, y in zip(p, got) if y is None])
-            coded.append(got)
-        split = {p: self.parts(p) for p in new}
-        fresh = list({x for pair in split.values() for x in pair if x} - cores.keys())
-        cores.update(zip(fresh, self.whole(fresh), strict=True))
-        for p, (core, tail) in split.items():
-            cache[p] = cores[core] + (cores[tail] if tail else b"")
-        for i, (p, got) in enumerate(zip(pieces, coded, strict=True)):
-            if got is not None:
-                out[i] = b"".join(map(cache.__getitem__, p) if None in got else got)
-        for p in new:
-            if len(p) > LONGEST:
-                del cache[p]
-        for p in fresh:
-            if len(p) > LONGEST:
-                del cores[p]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces without special tokens."""
+        out = []
+        for i in range(0, len(pieces), JOINED):
+            own = pieces[i : i + JOINED]
+            e = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
+            begins = np.cumsum([0, *map(len, own)]) + np.arange(len(own) + 1)
+            tokens = np.fromiter((x[0] for x in e.offsets), np.int64, len(e.ids))
+            at = (np.searchsorted(tokens, begins) * self.kind.itemsize).tolist()
+            ids = np.array(e.ids, self.kind).tobytes()
+            out += [ids[x:y] for x, y in zip(at, at[1:])]
         return out
 
+    def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """The packed ids of each text (none null), with the id ``end`` after them where it is given."""
+        texts = texts.cast(pa.large_string())
+        special = pc.match_substring(texts, "<|")
+        lower = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        split = pc.ascii_split_whitespace(pc.if_else(special, "", lower))
+        words = split.flatten().dictionary_encode()
+        # A letter or digit of ASCII and a stop or comma are never one word of the pre-tokenizer: final ones are pieces of their own.
+        both = words.dictionary
+        core = pc.ascii_rtrim(both, ".,")
+        cut = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(both)), pc.match_substring_regex(core, "[A-Za-z0-9]$"))
+        stops = _ends(both.filter(cut), core.filter(cut))
+        cores = pa.concat_arrays([pc.if_else(cut, core, both), stops]).dictionary_encode()
+        pieces = cores.dictionary.to_pylist()
+        got = list(map(self.cache.get, pieces))
+        new = [x for x, y in zip(pieces, got) if y is None]
+        if new:
+            if len(self.cache) + len(new) > CACHE:
+                self.cache.clear()
+            learnt = iter(self.learn(new))
+            got = [next(learnt) if y is None else y for y in got]
+            self.cache.update((x, y) for x, y in zip(pieces, got) if len(x) <= LONGEST)
+        of = cores.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        tail = np.full(len(both), -1)
+        tail[np.flatnonzero(cut.to_numpy(zero_copy_only=False))] = of[len(both) :]
+        at, bounds = words.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        at = np.column_stack([of[: len(both)][at], tail[at]]).reshape(-1)
+        there = at >= 0
+        bounds = np.concatenate([[0], np.cumsum(there)])[2 * bounds]
+        at = at[there]
+        # Whole texts with special tokens, and the end id, are pieces of their own, put in at their places.
+        extra = [(int(bounds[i]), self.whole(texts_of)) for i, texts_of in _chosen(special, texts)]
+        if extra:
+            at = np.insert(at, [p for p, _ in extra], len(got) + np.arange(len(extra)))
+            bounds = bounds + np.concatenate([[0], np.cumsum(special.to_numpy(zero_copy_only=False))])
+            got += [x for _, x in extra]
+        if end is not None:
+            at = np.insert(at, bounds[1:], len(got))
+            bounds = bounds + np.arange(len(bounds))
+            got.append(np.array([end], self.kind).tobytes())
+        ids = np.frombuffer(b"".join(got), self.kind)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
+        starts, n = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((ends[bounds] * self.kind.itemsize).astype(np.int64)), pa.py_buffer(out)])
+
+
+def _ends(whole: pa.Array, begins: pa.Array) -> pa.Array:
+    """What follows each of the beginnings."""
+    values, offsets = flat_bytes(whole)
+    n = pc.binary_length(whole).to_numpy() - pc.binary_length(begins).to_numpy()
+    out = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    at = np.arange(out[-1]) + np.repeat(offsets[1:] - n - out[:-1], n)
+    return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(out), pa.py_buffer(values[at]))
+
+
+def _chosen(mask: pa.Array, texts: pa.Array) -> list[tuple[int, str]]:
+    return list(zip(np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist(), texts.filter(mask).to_pylist(), strict=True))
+
 
 _ENCODERS: dict[str, CachedEncoder] = {}
 
@@ -215,17 +240,15 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        kind = np.dtype("<u2" if enc.vocabulary() <= 1 << 16 else "<u4")
-        end = np.array([end_id], kind).tobytes()
-        for b in sliced(batches, "text"):
-            ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
+        for b in sliced(batches, "text", PIECE):
+            ids = enc.encode(b.column("text"), end_id).cast(pa.binary())
             keys = b.column("doc_id").to_pylist()
             bucket = [0 if k is None else bisect_left(bounds, k) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b.column("doc_id"), pa.array(ids, pa.binary())], names=["bucket", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b.column("doc_id"), ids], names=["bucket", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        kind, bits = np.dtype("<u2" if enc.vocabulary() <= 1 << 16 else "<u4"), bits_for(enc.vocabulary())
+        kind, bits = enc.kind, bits_for(enc.vocabulary())
         tag, held, keys, bucket, total, part = uuid.uuid4().hex, [], [], None, 0, 0
 
         def flush() -> pa.RecordBatch:

@@ -4,6 +4,9 @@ The leaves of the tree hold ``rank << 32 | position`` of each adjacent pair of a
 root is the leftmost of the lowest-ranked pairs. A merge changes three leaves, each in
 logarithmic time; the word is done when the root holds no pair.
 
+Pieces of ASCII are lower-cased and cut into words here; for others the library's own normaliser and
+pre-tokenizer are asked, once for each distinct piece, as their Unicode tables differ from Python's.
+
 Defined cases: null and empty texts have no ids; repeated rows give repeated rows; a null id column
 stays null; other columns of the input are not looked at; an empty table gives an empty result.
 """
@@ -12,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,12 +29,10 @@ from bitquarry.llm.common import sliced, text_of
 TOKENIZER = "word_bpe_49k.json"
 _NONE = 1 << 62
 #: White space of the normaliser; str.split() also takes U+001C to U+001F, which are symbols here.
-_SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROL = regex.compile("[\x1c-\x1f]")
-#: Entries that a worker's caches hold before they are emptied, and the longest key that is kept.
-CHUNKS, WORDS, LONGEST = 500_000, 900_000, 48
-#: Children of a node of the segment tree: so many minima cost one call.
-FAN = 16
+#: Entries that a worker's caches of pieces and of words hold before they are emptied, and the longest key that is kept.
+CHUNKS, WORDS, LONGEST = 400_000, 400_000, 48
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -71,14 +72,21 @@ class SegmentTreeBpe:
         names = {i: t for t, i in (self.vocab | self.special).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         (split,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.words = regex.compile(split)
+        if "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" not in split or not all(t.startswith("<|") for t in self.special):
+            raise ValueError(f"a pre-tokenizer or special tokens of another kind: {path}")
+        self.words = regex.compile(split, regex.ASCII)
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.symbols = {c: b for b, c in enumerate(symbols)}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalise, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.chunk_cache: dict[str, bytes] = {}
-        self.word_cache: dict[str, bytes] = {}
+        self.word_cache: dict[bytes, bytes] = {}
 
-    def merge(self, word: str) -> list[int]:
+    def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
-        data = word.encode("utf-8")
         n = len(data)
         if n == 0:
             return []
@@ -88,20 +96,18 @@ class SegmentTreeBpe:
         if n == 1:
             return ids
         get = pair.get
-        leaves = [_NONE] * (n - 1)
+        size = 1 << (n - 2).bit_length()
+        tree = [_NONE] * (2 * size)
         for i in range(n - 1):
             m = get(ids[i] << 20 | ids[i + 1])
             if m is not None:
-                leaves[i] = (m >> 20) << 32 | i
-        levels = [leaves]
-        while len(levels[-1]) > FAN:
-            low = levels[-1]
-            levels.append([min(low[i : i + FAN]) for i in range(0, len(low), FAN)])
-        roots, above = levels[-1], len(levels) > 1
+                tree[size + i] = (m >> 20) << 32 | i
+        for x in range(size - 1, 0, -1):
+            a, b = tree[2 * x], tree[2 * x + 1]
+            tree[x] = a if a < b else b
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        top = min(roots)
-        while top != _NONE:
+        while (top := tree[1]) != _NONE:
             i = top & 0xFFFFFFFF
             j = after[i]
             new = ids[i] = get(ids[i] << 20 | ids[j]) & 0xFFFFF
@@ -110,26 +116,27 @@ class SegmentTreeBpe:
             p = before[i]
             if k < n:
                 before[k] = i
-                leaves[j] = _NONE
                 m = get(new << 20 | ids[k])
-                leaves[i] = _NONE if m is None else (m >> 20) << 32 | i
+                changed = [(i, _NONE if m is None else (m >> 20) << 32 | i), (j, _NONE)]
             else:
-                leaves[i] = _NONE
-                if j < n - 1:
-                    leaves[j] = _NONE
+                changed = [(i, _NONE)]
             if p >= 0:
                 m = get(ids[p] << 20 | new)
-                leaves[p] = _NONE if m is None else (m >> 20) << 32 | p
-            if above:
-                nodes = {i, j, p} if p >= 0 else {i, j}
-                for low, up in zip(levels, levels[1:]):
-                    nodes = {x // FAN for x in nodes if x < len(low)}
-                    for x in nodes:
-                        up[x] = min(low[x * FAN : x * FAN + FAN])
-            top = min(roots)
+                changed.append((p, _NONE if m is None else (m >> 20) << 32 | p))
+            for x, value in changed:
+                x += size
+                tree[x] = value
+                while x > 1:
+                    other = tree[x ^ 1]
+                    if other < value:
+                        value = other
+                    x >>= 1
+                    if tree[x] == value:
+                        break
+                    tree[x] = value
         return [x for x in ids if x >= 0]
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: bytes) -> bytes:
         got = self.word_cache.get(word)
         if got is None:
             got = np.array(self.merge(word), dtype="<u4").tobytes()
@@ -141,9 +148,12 @@ class SegmentTreeBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a piece without white space."""
-        low = unicodedata.normalize("NFC", chunk)
-        low = "".join(map(str.lower, low)) if "Σ" in low else low.lower()
-        got = b"".join(map(self._word, self.words.findall(low)))
+        if chunk.isascii():
+            words = [w.encode() for w in self.words.findall(chunk.lower())]
+        else:
+            symbols = self.symbols
+            words = [bytes([symbols[c] for c in w]) for w, _ in self.cut(self.normalise(chunk))]
+        got = b"".join(map(self._word, words))
         if len(chunk) <= LONGEST:
             if len(self.chunk_cache) >= CHUNKS:
                 self.chunk_cache.clear()
@@ -151,6 +161,7 @@ class SegmentTreeBpe:
         return got
 
     def _plain(self, text: str) -> bytes:
+        text = text.lower() if text.isascii() else text
         chunks = [x for x in _SPACE.split(text) if x] if _CONTROL.search(text) else text.split()
         cache, out = self.chunk_cache, []
         for c in chunks:

@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from bitquarry.llm.common import shared_dir
-from bitquarry.llm.op2_token_files import END_ID, TokenFile, bits_for, file_bytes, pack, read_token_files, unpack, write_token_files
+from bitquarry.llm.op2_token_files import END_ID, TokenFile, bits_for, encoder, file_bytes, pack, read_token_files, unpack, write_token_files
 from bitquarry.llm.op8_bpe import SegmentTreeBpe, codec, encode_decode, tokenizer_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -95,3 +96,17 @@ def test_worker_caches_stay_bounded(monkeypatch):
     text = " ".join(f"word{i}" for i in range(50))
     assert bpe.encode(text).tolist() == codec(tokenizer_path()).encode(text).tolist()
     assert len(bpe.chunk_cache) <= 6 and len(bpe.word_cache) <= 6
+
+
+def test_every_code_point_and_special_strings_in_any_case(library):
+    texts = [f"a{chr(c)}." for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(3)
+    texts += ["".join(chr(rng.choice([rng.randrange(1, 0x2FFF), rng.randrange(32, 127), 32])) for _ in range(30)) for _ in range(5000)]
+    texts += ["<|ENDOFTEXT|>", "ab<|EndOfText|>cd", "<|endoftext|> x", "A<|startoftext|>B", "it's IT'S 'Re x'll.", "\x01\x1c a\x1fb", "", " ", "<|", "a.,b.,", ".,", "Ab.,. É.,"]
+    bpe, cached = codec(tokenizer_path()), encoder(tokenizer_path())
+    for at in range(0, len(texts), 50_000):
+        some = texts[at : at + 50_000]
+        want = [e.ids for e in library.encode_batch_fast(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, cached.kind).tolist() for x in cached.encode(pa.array(some)).to_pylist()] == want
+        assert [bpe.encode(t).tolist() for t in some] == want
+    assert [np.frombuffer(x, cached.kind).tolist() for x in cached.encode(pa.array(texts[-12:]), 2).to_pylist()] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts[-12:]]

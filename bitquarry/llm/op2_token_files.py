@@ -155,7 +155,8 @@ class CachedEncoder:
 
     def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
         """The packed ids of each text (none null), with the id ``end`` after them where it is given."""
-        texts = texts.cast(pa.large_string())
+        flat, offsets = flat_bytes(texts)  # some kernels go wrong on arrays that begin within their buffers
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(flat))
         special = pc.match_substring(texts, "<|")
         lower = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
         split = pc.ascii_split_whitespace(pc.if_else(special, "", lower))

@@ -107,6 +107,6 @@ def test_every_code_point_and_special_strings_in_any_case(library):
     for at in range(0, len(texts), 50_000):
         some = texts[at : at + 50_000]
         want = [e.ids for e in library.encode_batch_fast(some, add_special_tokens=False)]
-        assert [np.frombuffer(x, cached.kind).tolist() for x in cached.encode(pa.array(some)).to_pylist()] == want
+        assert [np.frombuffer(x, cached.kind).tolist() for x in cached.encode(pa.array(["É"] * 3 + some)[3:]).to_pylist()] == want
         assert [bpe.encode(t).tolist() for t in some] == want
     assert [np.frombuffer(x, cached.kind).tolist() for x in cached.encode(pa.array(texts[-12:]), 2).to_pylist()] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts[-12:]]

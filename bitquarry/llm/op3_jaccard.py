@@ -1,54 +1,79 @@
 """Operator 3: n-gram Jaccard join with R-trees over count vectors.
 
-A text's set is its distinct hashes of k-word shingles. The shingles are hashed into groups, more of
-them for larger sets; a set is the point of its counts by group. Two sets share at most the sum of the smaller counts of
-all groups, and a set shares with anything below a tree's node at most the sum of the minima with
-the node's largest counts; together with the sizes this bounds their similarity. What survives the
-bounds is verified on the sets.
-
-1. Each task joins its own texts: an R-tree holds the centres found so far; a text that verifies
-   against one is linked to it. Large groups of copies fold here, before anything is shuffled.
-2. Equal sets are one node from here on. Centres that share one of MINS smallest hashes are linked
-   where they verify. Links give components.
-3. The exact part: two sets over the threshold share a token among the first ``n - ceil(t n) + 1``
-   of each, in any order common to all (frequent tokens last, then by hash). Tokens of one
-   component alone are summed away before and while they are shuffled; for the others the sets meet
-   by token, R-trees find the candidate pairs of different components, and these are verified: a few
-   of each two components first, then, with the components that this leaves, all of them.
-
-Links within a component found in 1 and 2 are not listed again, for they change nothing.
+A text's set is its distinct hashes of k-word shingles. Its tokens are hashed into groups.
+
+1. Families. Two sets over the threshold differ in at most d tokens, d by their sizes, so of d + 1 groups one holds
+   the same tokens in both: each set's groups, by the hash of what they hold, are its signatures, and sets that share one
+   are of one family, directly or through others. Sizes are parted into bands so wide that only neighbours
+   can link; each set signs for its own band and the next. Some groups more than d + 1 are made, so that groups
+   without a token that is rare in the corpus need not sign, as long as a set has no more of them than those.
+   Each task folds the families of its own texts before anything is shuffled.
+2. Join. The sets of a family, in shards of bounded size if it is large, are joined shard by shard: a set is the
+   point of its counts by group, R-trees index the points, two sets share at most the sum of the smaller counts, and
+   with anything below a tree's node at most the sum of the minima with the node's largest counts. What the bounds
+   leave, and what no links found so far connect, is verified on the sets; the links that connect are kept.
+3. Components of the links.
+
+Links between sets that others already connect within a shard or two are not listed, for they change nothing.
+The work on a family of m different sets that don't link grows with m * m vector operations; the rows don't.
 
 Defined cases: null and empty texts and those without words have an empty set, which links with
 nothing; repeated rows are copies of each other; rows with a null id link with nothing
 and have a null component; an empty table gives an empty result; other columns
-are not looked at. Sets are known by 64-bit hashes, as are their members.
+are not looked at. Sets are known by 128-bit hashes, their members by 64-bit ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import exp
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import discard, flat_bytes, saved, saved_paths, sliced, text_of
+from bitquarry.llm.common import flat_bytes, saved, sliced, text_of
 from bitquarry.llm.components import components
 from bitquarry.llm.text import NOT_SPACE, distinct_by_row, mix, shingles, words
 
 WORDS, PERCENT = 4, 85
-LEAF, MINS = 64, 4
-#: Pairs of two components that a task lists before it is known whether the components are one.
-FEW = 4
-#: Groups for sets of fewer shingles than stated: the bound stays sharp while sets have few shingles a group.
+#: Entries of a leaf of a tree and children of a node.
+LEAF, FAN = 64, 8
+#: Groups of a point for sets of fewer shingles than stated: the bound stays sharp while sets have few shingles a group.
 GROUPS = ((4096, 128), (32768, 1024), (1 << 62, 8192))
-#: Bytes of text cut at once; bytes whose sets a task joins with each other in step 1.
+#: Bytes of text cut at once; bytes whose families a task folds at once.
 PIECE, CHUNK = 2 << 20, 16 << 20
-#: Tokens that come last in the common order: so many at most, each in a share of some task's texts.
+#: Tokens that don't make a group sign: so many at most, each in a share of some task's texts.
 FREQUENT, SHARE = 1 << 16, 0.004
+#: Tokens of a shard of a family (a larger set is one by itself): a task holds two shards.
+SHARD = 1 << 21
+
+
+@lru_cache
+def bands(percent: int) -> np.ndarray:
+    """The least size of each band: sets that link are of one band or of neighbouring ones."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 100 // percent + 1)
+    return np.array(out, np.int64)
+
+
+@lru_cache
+def levels(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs whose larger set is of a band: the groups to make, and how many of a set's need not sign."""
+    at = bands(percent)
+    groups, spare = [], []
+    for b in range(len(at) - 1):
+        differ = 2 * (int(at[b + 1]) - 1) * (100 - percent) // (100 + percent)
+        weak = 0
+        for _ in range(8):  # groups that a set of the band below is likely to leave empty, twice over
+            weak = int(2 * (differ + 1 + weak) * exp(-int(at[max(0, b - 1)]) / (differ + 1 + weak)) + 1) if differ else 0
+        groups.append(differ + 1 + weak)
+        spare.append(weak)
+    return np.array(groups, np.int64), np.array(spare, np.int64)
 
 
 @dataclass(frozen=True)
@@ -61,22 +86,85 @@ class Jaccard:
     def linked(self, shared, n, m):
         return 100 * shared >= self.percent * (n + m - shared)
 
-    def prefix(self, n: int) -> int:
-        return n - -(-self.percent * n // 100) + 1
-
     def sets(self, column: pa.Array) -> list[np.ndarray]:
         """Sorted distinct shingle hashes of each text."""
-        hashes, bounds = words(*flat_bytes(column), NOT_SPACE)
-        values, bounds = distinct_by_row(*shingles(hashes, bounds, self.words))
+        values, bounds = self.flat_sets(column)
         return [values[bounds[i] : bounds[i + 1]] for i in range(len(column))]
 
-
-def identity(tokens: np.ndarray) -> int:
-    """A set's own hash, as a signed 64-bit integer."""
-    if not len(tokens):
-        return 0
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([np.add.reduce(mix(tokens)) ^ np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+    def flat_sets(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' sets one after the other, and each text's bounds in them."""
+        hashes, bounds = words(*flat_bytes(column), NOT_SPACE)
+        return distinct_by_row(*shingles(hashes, bounds, self.words))
+
+
+def identities(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, as signed 64-bit integers; 0 for empty sets."""
+    n = np.diff(bounds).astype(np.uint64)
+    out = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(seed)))])
+        out.append(np.where(n > 0, mix((total[bounds[1:]] - total[bounds[:-1]]) ^ n), np.uint64(0)).view(np.int64))
+    return out[0], out[1]
+
+
+def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (unsigned) of the sets, and the set of each. ``frequent``: sorted tokens that don't make a group sign."""
+    at, (groups, spare) = bands(percent), levels(percent)
+    n = np.diff(bounds)
+    live = np.flatnonzero(n > 0)
+    if not len(live):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    own = np.searchsorted(at, n, side="right") - 1
+    rare = np.ones(len(values), bool)
+    if len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] != values
+    hashed, spread = mix(values ^ np.uint64(0xD6E8FEB86659FD93)), (values >> np.uint64(32)).astype(np.int64)
+    low, high = (hashed & np.uint64(0xFFFFFFFF)).astype(np.float64), (hashed >> np.uint64(32)).astype(np.float64)
+    names, owners = [], []
+    for up in (0, 1):
+        level = np.where(n > 0, own + up, 0)
+        g = np.where(n > 0, groups[level], 0)
+        first = np.concatenate([[0], np.cumsum(g)])
+        place = np.repeat(first[:-1], n) + (spread * np.repeat(g, n) >> 32)
+        total = first[-1]
+        # Sums of 32-bit halves are exact in doubles for sets of fewer than 2^21 tokens a group.
+        sums = np.bincount(place, weights=low, minlength=total).astype(np.uint64) + (np.bincount(place, weights=high, minlength=total).astype(np.uint64) << np.uint64(32))
+        strong = np.bincount(place, weights=rare, minlength=total) > 0
+        owner = np.repeat(np.arange(len(n)), g)
+        weak = g - np.add.reduceat(np.concatenate([strong, [False]]).astype(np.int64), np.minimum(first[:-1], total))
+        signs = strong | (weak > spare[level])[owner]
+        number = np.arange(total) - np.repeat(first[:-1], g)
+        tag = (level.astype(np.uint64)[owner] << np.uint64(40)) + number.astype(np.uint64)
+        names.append(mix(sums[signs] ^ mix(tag[signs])))
+        owners.append(owner[signs])
+    return np.concatenate(names), np.concatenate(owners)
+
+
+def folded_families(names: np.ndarray, owners: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (signed) and nodes that tell the same families: each signature once, and for each family of these sets a key of its own that all of them have."""
+    order = np.argsort(names, kind="stable")
+    names, owners = names[order], owners[order]
+    new = np.ones(len(names), bool)
+    new[1:] = names[1:] != names[:-1]
+    starts = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    label = np.arange(len(nodes))
+    many = np.concatenate([np.diff(starts), [len(names) - starts[-1]]])[group] > 1 if len(names) else np.zeros(0, bool)
+    g, o = group[many], owners[many]
+    if len(g):
+        begins = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        sizes = np.diff(np.concatenate([begins, [len(g)]]))
+        while True:
+            least = np.repeat(np.minimum.reduceat(label[o], begins), sizes)
+            after = label.copy()
+            np.minimum.at(after, o, least)
+            after = after[after]
+            if (after == label).all():
+                break
+            label = after
+    family = np.flatnonzero(np.bincount(label, minlength=len(nodes))[label] > 1)
+    keys = mix(nodes[label[family]].view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+    return np.concatenate([names[starts], keys]).view(np.int64), np.concatenate([nodes[owners[starts]], nodes[family]])
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
@@ -100,47 +188,49 @@ def shared_by(a: np.ndarray, b: np.ndarray) -> int:
 class CountTree:
     """R-tree of count vectors that come in ascending order of their sums.
 
-    Entries fill a leaf after the other, so that a leaf's sums are a short range; leaves hold the
-    largest count of each group, and queries pass over leaves and entries by summed minima. Counts
+    Entries fill a leaf after the other and leaves an inner node after the other, so that a node's sums are a short range;
+    nodes hold the largest count of each group, and queries pass over nodes and entries by summed minima, from the root down. Counts
     are cut at 65,535, which only loosens the bound: it then stays true through ``slack``.
     """
 
     def __init__(self, measure: Jaccard, groups: int):
-        self.measure, self.n = measure, 0
-        self.points, self.sizes, self.labels = np.zeros((LEAF, groups), np.uint16), np.zeros(LEAF, np.int64), np.zeros(LEAF, np.int64)
-        self.tops = np.zeros((1, groups), np.uint16)
-        self.owner = np.zeros(1, np.int64)  # the label that all of a leaf have, or -1
-        self.slack = 0
-
-    def add(self, p: np.ndarray, size: int, label: int) -> None:
-        if self.n == len(self.points):
-            self.points, self.tops = np.concatenate([self.points, np.zeros_like(self.points)]), np.concatenate([self.tops, np.zeros_like(self.tops)])
-            self.sizes, self.labels, self.owner = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.labels, self.owner))
-        leaf = self.n // LEAF
-        self.owner[leaf] = label if self.n % LEAF == 0 or self.owner[leaf] == label else -1
-        self.points[self.n], self.sizes[self.n], self.labels[self.n] = p, size, label
-        np.maximum(self.tops[leaf], p, out=self.tops[leaf])
+        self.measure, self.n, self.slack = measure, 0, 0
+        self.sizes = np.zeros(LEAF, np.int64)
+        self.levels = [np.zeros((LEAF, groups), np.uint16), np.zeros((1, groups), np.uint16)]  # entries, leaves, inner nodes up to a root
+        self.spans = [1, LEAF]  # entries below a node of each level
+
+    def add(self, p: np.ndarray, size: int) -> None:
+        if self.n == len(self.sizes):
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.sizes[self.n] = size
+        if self.n == self.spans[-1]:  # the root is full: it becomes a child of a new one
+            self.levels.append(self.levels[-1][:1].copy())
+            self.spans.append(self.spans[-1] * FAN)
+        for k, span in enumerate(self.spans):
+            at = self.n // span
+            if at == len(self.levels[k]):
+                self.levels[k] = np.concatenate([self.levels[k], np.zeros_like(self.levels[k])])
+            np.maximum(self.levels[k][at], p, out=self.levels[k][at])
         self.slack = max(self.slack, size - int(p.sum(dtype=np.int64)))
         self.n += 1
 
-    def near(self, p: np.ndarray, size: int, label: int = -1) -> np.ndarray:
-        """Entries of other labels that the bounds leave, for a vector of at least their size."""
+    def near(self, p: np.ndarray, size: int) -> np.ndarray:
+        """Entries that the bounds leave, for a vector of at least their size."""
         first = int(np.searchsorted(self.sizes[: self.n], -(-self.measure.percent * size // 100)))
         if first >= self.n:
             return np.zeros(0, np.int64)
-        a, z = first // LEAF, (self.n - 1) // LEAF + 1
         slack = self.slack + size - int(p.sum(dtype=np.int64))
-        bound = np.minimum(self.tops[a:z], p).sum(axis=1, dtype=np.int64) + slack
-        least = np.maximum(self.sizes[a * LEAF : z * LEAF : LEAF], self.sizes[first])
-        leaves = np.flatnonzero(self.measure.linked(np.minimum(bound, size), size, least) & ((self.owner[a:z] != label) | (label < 0))) + a
-        if not len(leaves):
-            return np.zeros(0, np.int64)
-        at = (leaves[:, None] * LEAF + np.arange(LEAF)).reshape(-1)
-        at = at[(at >= first) & (at < self.n)]
-        if label >= 0:
-            at = at[self.labels[at] != label]
-        bound = np.minimum(self.points[at], p).sum(axis=1, dtype=np.int64) + slack
-        return at[self.measure.linked(np.minimum(bound, self.sizes[at]), size, self.sizes[at])]
+        at = np.zeros(1, np.int64)
+        for k in range(len(self.spans) - 1, -1, -1):
+            span = self.spans[k]
+            at = at[((at + 1) * span > first) & (at * span < self.n)]
+            shared = np.minimum(self.levels[k][at], p).sum(axis=1, dtype=np.int64) + slack
+            least = self.sizes[np.maximum(at * span, first)]
+            at = at[self.measure.linked(np.minimum(shared, size if k else least), size, least)]
+            if k and len(at):
+                fan = span // self.spans[k - 1]
+                at = (at[:, None] * fan + np.arange(fan)).reshape(-1)
+        return at
 
 
 class CountForest:
@@ -150,43 +240,17 @@ class CountForest:
         self.measure, self.n = measure, 0
         self.trees: dict[int, tuple[CountTree, list[int]]] = {}
 
-    def add(self, p: np.ndarray, size: int, label: int) -> None:
+    def add(self, p: np.ndarray, size: int) -> None:
         if len(p) not in self.trees:
             self.trees[len(p)] = CountTree(self.measure, len(p)), []
         tree, places = self.trees[len(p)]
-        tree.add(p, size, label)
+        tree.add(p, size)
         places.append(self.n)
         self.n += 1
 
-    def near(self, p: np.ndarray, size: int, label: int = -1) -> list[int]:
+    def near(self, p: np.ndarray, size: int) -> list[int]:
         """Places, in the order of adding, of what the bounds leave."""
-        return [places[i] for groups, (tree, places) in self.trees.items() for i in tree.near(folded(p, groups), size, label).tolist()]
-
-
-def centres(sets: list[np.ndarray], measure: Jaccard) -> np.ndarray:
-    """For each set the place of a verified centre, its own if there is none; -1 for empty sets."""
-    out = np.full(len(sets), -1, np.int64)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    tree, held, seen = CountForest(measure), [], {}
-    for i in np.argsort(sizes, kind="stable").tolist():
-        if not sizes[i]:
-            continue
-        key = sets[i].tobytes() if sizes[i] < 4 else (int(sizes[i]), identity(sets[i]))
-        if key in seen:
-            out[i] = out[seen[key]]
-            continue
-        seen[key] = i
-        p = point(sets[i])
-        for c in tree.near(p, int(sizes[i]))[::-1]:
-            j = held[c]
-            if measure.linked(shared_by(sets[j], sets[i]), sizes[i], sizes[j]):
-                out[i] = j
-                break
-        else:
-            out[i] = i
-            tree.add(p, int(sizes[i]), 0)
-            held.append(i)
-    return out
+        return [places[i] for groups, (tree, places) in self.trees.items() for i in tree.near(folded(p, groups), size).tolist()]
 
 
 def frequent_tokens(rows: DataFrame, measure: Jaccard) -> np.ndarray:
@@ -204,177 +268,129 @@ def frequent_tokens(rows: DataFrame, measure: Jaccard) -> np.ndarray:
     return np.sort(top.toArrow().column("token").to_numpy().view(np.uint64))
 
 
-def described(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """Step 1. For each text: row (its number), doc_id, n, node, centre (a node), mins, vector, prefix; written out, with the folder."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, measure))  # FREQUENT numbers at most
+def described(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
+    """row (its number), doc_id, n, h1, h2 (the set's identity) of each text, written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
-        seeds = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1) for i in range(MINS)]
-
-        def rows_of(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-            names = [identity(s) for s in sets]
-            at = centres([s if i is not None else s[:0] for i, s in zip(ids, sets, strict=True)], measure)
-            mins, vectors, prefixes = [], [], []
-            for s, name, c in zip(sets, names, at.tolist(), strict=True):
-                own = c >= 0 and names[c] == name
-                mins.append([int(np.min(mix(s ^ x)).view(np.int64)) for x in seeds] if own else [])
-                if not len(s):
-                    vectors.append(b"")
-                    prefixes.append(b"")
-                    continue
-                vectors.append(point(s).tobytes())
-                last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
-                prefixes.append(np.concatenate([s[~last], s[last]])[: measure.prefix(len(s))].tobytes())
-            columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([names[c] if c >= 0 else 0 for c in at.tolist()], pa.int64())]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(mins, pa.list_(pa.int64())), pa.array(vectors, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "n", "node", "centre", "mins", "vector", "prefix"])
-
-        ids, sets, held = [], [], 0
         for b in sliced(batches, "text", PIECE):
-            ids += b.column("doc_id").to_pylist()
-            sets += measure.sets(b.column("text"))
-            held += b.get_total_buffer_size() if b.num_rows == 1 else int(pc.sum(pc.binary_length(b.column("text"))).as_py() or 0)
-            if held >= CHUNK:
-                yield rows_of(ids, sets)
-                ids, sets, held = [], [], 0
-        if ids:
-            yield rows_of(ids, sets)
-
-    out = rows.mapInArrow(run, "doc_id long, n long, node long, centre long, mins array<long>, vector binary, prefix binary")
-    return saved_paths(out.withColumn("row", F.monotonically_increasing_id()), "sets")
+            values, bounds = measure.flat_sets(b.column("text"))
+            h1, h2 = identities(values, bounds)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(h1), pa.array(h2)], names=["doc_id", "n", "h1", "h2"])
 
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col))
+    return saved(rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long").withColumn("row", F.monotonically_increasing_id()), "sets")
 
-def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs of nodes (a, b) those over the threshold, by the sets of one text each. ``texts``: node and a doc_id that has it."""
-    pairs = saved(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = saved(texts.join(wanted, "node").select("node", "doc_id"), "wanted")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).join(wanted, "doc_id")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", PIECE):
-            sets = measure.sets(b.column("text"))
-            same = [identity(s) == node for s, node in zip(sets, b.column("node").to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
-            yield out.filter(pa.array(same))
+def families(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
+    """Step 1: node (the first hash of a set) and family of each set that shares a signature with another, written out."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).where("doc_id is not null").select("text")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, measure))  # FREQUENT numbers at most
 
-    sets = saved(rows.mapInArrow(cut, "node long, tokens binary").dropDuplicates(["node"]), "tokens")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, owners, nodes, held, seen = [], [], [], 0, 0
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(bool(measure.linked(shared_by(x, y), len(x), len(y))))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        def flush() -> pa.RecordBatch:
+            key, node = folded_families(np.concatenate(names), np.concatenate(owners), np.concatenate(nodes))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return saved(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+        for b in sliced(batches, "text", PIECE):
+            values, bounds = measure.flat_sets(b.column("text"))
+            node, _ = identities(values, bounds)
+            name, owner = signatures(values, bounds, measure.percent, frequent.value)
+            names.append(name)
+            owners.append(owner + seen)
+            nodes.append(node)
+            seen += len(node)
+            held += int(flat_bytes(b.column("text"))[1][-1])
+            if held >= CHUNK:
+                yield flush()
+                names, owners, nodes, held, seen = [], [], [], 0, 0
+        if nodes:
+            yield flush()
+
+    there = Window.partitionBy("key")
+    signed = rows.mapInArrow(run, "key long, node long")
+    met = signed.select("node", F.min("node").over(there).alias("low"), F.max("node").over(there).alias("high")).where("low < high and node != low")
+    return components(saved(met.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "relatives")).select("node", F.col("label").alias("family"))
+
+
+def sharded(nodes: DataFrame, family: DataFrame) -> DataFrame:
+    """row, doc_id, n, h1, h2, family, shard, shards: the sets of families, written out. ``nodes``: one row for each set."""
+    known = saved(nodes.join(family.withColumnRenamed("node", "h1"), "h1"), "relations")
+    sizes = known.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1")
+    shards = F.ceil(F.col("total") / SHARD).cast("int").alias("shards")
+    both = known.join(sizes.select("family", shards), "family")
+    return saved(both.withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int")), "shards")
+
+
+def joined(sets: list[tuple[int, int, np.ndarray]], measure: Jaccard, across: bool) -> list[tuple[int, int]]:
+    """Links that connect all sets (row, shard, tokens) that link; ``across``: only those of different shards are asked."""
+    sets = sorted(sets, key=lambda x: (len(x[2]), x[0]))
+    shard = np.array([x[1] for x in sets])
+    label, forest, links = np.arange(len(sets)), CountForest(measure), []
+    for i, (row, _, tokens) in enumerate(sets):
+        p, n = point(tokens), len(tokens)
+        near = np.array(forest.near(p, n), np.int64)
+        if across:
+            near = near[shard[near] != shard[i]]
+        for j in near[::-1].tolist():
+            if label[j] != label[i] and measure.linked(shared_by(tokens, sets[j][2]), n, len(sets[j][2])):
+                links.append((row, sets[j][0]))
+                label[label == label[i]] = label[j]
+        forest.add(p, n)
+    return links
+
+
+def linked(members: DataFrame, docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
+    """Step 2: a, b (rows) of links that connect the sets of each family, written out."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).join(members, "doc_id")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text", PIECE):
+            values, bounds = measure.flat_sets(b.column("text"))
+            h1, h2 = identities(values, bounds)
+            same = np.flatnonzero((h1 == b.column("h1").to_numpy()) & (h2 == b.column("h2").to_numpy()))
+            tokens = pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in same.tolist()], pa.binary())
+            own = b.take(pa.array(same))
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("family", "shard", "shards", "row")), tokens], names=["family", "shard", "shards", "row", "tokens"])
 
-def met_tokens(nodes: DataFrame) -> DataFrame:
-    """token, row: the prefix tokens that nodes of more than one component have, written out.
+    sets = rows.mapInArrow(cut, "family long, shard int, shards int, row long, tokens binary")
+    blocks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    blocks = blocks.select("family", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "row", "tokens")
 
-    ``nodes``: row, label, prefix. Tokens are cut to 48 bits here and nodes go
-    by row, for less to shuffle; that two tokens fall together makes a candidate more at worst.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
 
-    def exploded(other: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 4096):
-                    part = b.slice(at, 4096)
-                    data = part.column("prefix").to_pylist()
-                    token = (np.frombuffer(b"".join(data), np.uint64) >> np.uint64(16)).astype(np.int64)
-                    with_it = np.repeat(part.column(other).to_numpy(), [len(x) // 8 for x in data])
-                    if other == "label":  # one for each token and component
-                        order = np.lexsort((with_it, token))
-                        token, with_it = token[order], with_it[order]
-                        new = np.ones(len(token), bool)
-                        new[1:] = (token[1:] != token[:-1]) | (with_it[1:] != with_it[:-1])
-                        token, with_it = token[new], with_it[new]
-                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(with_it)], names=["token", other])
-
-        return nodes.select(other, "prefix").mapInArrow(run, f"token long, {other} long")
-
-    mixed = exploded("label").groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    return saved(exploded("row").join(saved(mixed, "mixed-tokens"), "token"), "met-tokens")
-
-
-def candidates(met: DataFrame, nodes: DataFrame, measure: Jaccard, few: int = 0) -> DataFrame:
-    """Step 3: pairs of nodes of different components that share a token and that R-trees leave.
-
-    ``nodes``: row, node, label, n, vector. With ``few`` each task lists so many pairs of two components
-    at most: those that link are one component before the others are listed in full.
-    """
-    labels = met.join(nodes.select("row", "label"), "row")
-    mixed = saved(labels.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token"), "mixed-tokens")
-    met = met.join(mixed, "token").join(nodes.select("row", "node", "label", "n", "vector"), "row")
+        def flush() -> pa.RecordBatch:
+            links = joined(list(held.values()), measure, at[1] != at[2])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by token, then size; the forest of a token holds what came before."""
-        token, forest, held, codes, found, listed = None, None, [], {}, set(), {}
         for b in batches:
-            for t, node, label, n, vector in zip(*(b.column(c).to_pylist() for c in ("token", "node", "label", "n", "vector")), strict=True):
-                p = np.frombuffer(vector, np.uint16)
-                if t != token:
-                    token, forest, held, codes = t, CountForest(measure), [], {}
-                code = codes.setdefault(label, len(codes))
-                for c in forest.near(p, n, code):
-                    other, its = held[c]
-                    if few:
-                        both = (min(label, its), max(label, its))
-                        listed[both] = listed.get(both, 0) + 1
-                        if listed[both] > few:
-                            continue
-                    found.add((min(node, other), max(node, other)))
-                forest.add(p, n, code)
-                held.append((node, label))
-                if len(listed) > 1 << 20:
-                    listed = {}
-                if len(found) >= 1 << 17:
-                    yield _pairs(found)
-                    found = set()
-        if found:
-            yield _pairs(found)
-
-    dealt = met.repartition(F.col("token")).sortWithinPartitions("token", "n", "node").select("token", "node", "label", "n", "vector")
-    return dealt.mapInArrow(joined, "a long, b long").distinct()
-
-
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            for family, i, j, shard, row, tokens in zip(*(b.column(c) for c in ("family", "i", "j", "shard", "row", "tokens")), strict=True):
+                key = (family.as_py(), i.as_py(), j.as_py())
+                if key != at:
+                    if len(held) > 1:
+                        yield flush()
+                    at, held = key, {}
+                held[row.as_py()] = (row.as_py(), shard.as_py(), np.frombuffer(tokens.as_py(), np.uint64))
+        if len(held) > 1:
+            yield flush()
+
+    dealt = blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return saved(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, measure: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    spark = docs.sparkSession
-    own, own_path = described(docs, measure, id_col, text_col)
+    own = described(docs, measure, id_col, text_col)
     live = own.where("n > 0 and doc_id is not null")
-    sets = saved(live.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "nodes")
-    texts = sets.select("node", "doc_id")
-    near = live.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    keys = live.select("node", "n", F.posexplode("mins").alias("i", "key")).distinct()
-    star = saved(keys.groupBy("i", "key").agg(F.min(F.struct("n", "node")).alias("c"), F.count("*").alias("k")).where("k > 1").select("i", "key", F.col("c.node").alias("b")), "stars")
-    pairs = keys.join(star, ["i", "key"]).where("node != b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    links = saved(near.unionByName(verified(pairs, docs, texts, measure, id_col, text_col)), "links")
-    labelled = sets.join(components(links), "node", "left").select("row", "node", F.coalesce("label", "node").alias("label_node"))
-    labelled = saved(labelled, "labelled").join(sets.select(F.col("node").alias("label_node"), F.col("row").alias("label")), "label_node").select("row", "node", "label")
-    nodes, nodes_path = saved_paths(own.select("row", "n", "vector", "prefix").join(saved(labelled, "labelled"), "row"), "points")
-    own = saved(own.select("doc_id", "n", "node"), "own")
-    discard(spark, own_path)
-    met = met_tokens(nodes)
-    points = nodes.select("row", "node", "label", "n", "vector")
-    for few in (FEW, 0):
-        links = saved(links.unionByName(verified(candidates(met, points, measure, few), docs, texts, measure, id_col, text_col)), "links")
-        labels = components(links)
-        points = nodes.select("row", "node", "n", "vector").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    discard(spark, nodes_path)
-    named = saved(sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id"), "named")
+    nodes = saved(live.groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
+    members = sharded(nodes, families(docs, measure, id_col, text_col))
+    labels = components(linked(members, docs, measure, id_col, text_col)).withColumnRenamed("node", "row")
+    named = saved(nodes.join(labels, "row", "left").select("h1", "h2", F.coalesce("label", "row").alias("label"), "doc_id"), "named")
     least = saved(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    of = saved(named.join(least, "label").select("node", "component_id"), "component-ids")
-    out = own.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of, "node", "left")
+    of = saved(named.join(least, "label").select("h1", "h2", "component_id"), "component-ids")
+    out = own.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(of, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -91,7 +91,7 @@ def test_bounds_lose_no_link():
             for j in range(i):
                 if measure.linked(len(np.intersect1d(s, sets[j])), len(s), len(sets[j])):
                     assert j in near
-            forest.add(point(s), len(s), i)
+            forest.add(point(s), len(s))
 
 
 def test_long_chains_are_one_component(spark):

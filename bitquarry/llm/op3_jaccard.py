@@ -50,6 +50,8 @@ PIECE, CHUNK = 2 << 20, 16 << 20
 FREQUENT, SHARE = 1 << 16, 0.004
 #: Tokens of a shard of a family (a larger set is one by itself): a task holds two shards.
 SHARD = 1 << 21
+#: Buckets of document ids, of which those that hold a wanted text are sent to all tasks.
+BUCKETS = 1 << 20
 
 
 @lru_cache
@@ -343,7 +345,11 @@ def joined(sets: list[tuple[int, int, np.ndarray]], measure: Jaccard, across: bo
 
 def linked(members: DataFrame, docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
     """Step 2: a, b (rows) of links that connect the sets of each family, written out."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).join(members, "doc_id")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    wanted = F.broadcast(members.select(bucket.alias("bucket")).distinct())  # BUCKETS numbers at most
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).where("doc_id is not null")
+    # Few texts are shuffled that aren't asked for; the rest is one plan at every size.
+    rows = rows.withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").drop("bucket").join(members.hint("merge"), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", PIECE):

@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``; each works on what its predecessor kept.
 
-Rows are judged by their own text, whatever their doc_id: rows that repeat one or have none are told apart by
-the text's hash. Of rows alike in both the near-duplicate stage keeps one (without an id and with an empty set: all).
+Rows are judged by their own text, whatever their doc_id: the near-duplicate stage numbers them, the decontamination
+knows them by their text's hash. Of rows alike in all columns one stays, but all whose texts have no words.
 All stages but the last return the columns of ``documents`` (and any others that came with them).
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitquarry.llm.common import saved
@@ -20,6 +20,10 @@ from bitquarry.llm.op8_bpe import encode_decode
 from bitquarry.llm.op10_line_dedup import dedup_lines
 
 
+#: The number of a row while near duplicates are looked for; no table of documents has such a column.
+ROW = "__row_of_near_duplicates"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier takes for toxic."""
     return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
@@ -36,29 +40,22 @@ def text_hash() -> Column:
     return F.xxhash64(F.col("text"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with __row, a number for each doc_id and text, in the order of ids (null last); written, so that it stays."""
-    known = docs.select(F.col("doc_id").alias("__id"), text_hash().alias("__text")).distinct()
-    rows = saved(known.orderBy(F.col("__id").asc_nulls_last(), "__text").withColumn("__row", F.monotonically_increasing_id()), "rows")
-    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__text"))).drop("__id", "__text")
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents alike in 0.8 of their five-word shingles, the one with the smallest id."""
-    columns, docs = docs.columns, saved(numbered(docs), "numbered")
-    found = jaccard_components(docs, Jaccard(words=5, percent=80), id_col="__row")
-    kept = saved(found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"), (F.col("n_shingles") == 0).alias("__bare")).distinct(), "kept")
-    rows = docs.join(kept, F.col("__row") == F.col("__kept"))
-    first = F.row_number().over(Window.partitionBy("__row", "__alone").orderBy("__row"))
-    alone = F.when(F.col("doc_id").isNull() & F.col("__bare"), F.monotonically_increasing_id())
-    return rows.withColumn("__alone", alone).withColumn("__first", first).where("__first = 1").select(*columns)
+    """Of each group of documents alike in 0.8 of their five-word shingles, the one with the smallest id (null last)."""
+    columns, docs = docs.columns, saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_components(docs, Jaccard(words=5, percent=80), id_col=ROW).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    found = found.join(docs.select(F.col(ROW).alias("row"), "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = saved(found.groupBy("group").agg(first).select(F.col("first.row").alias(ROW)), "kept")
+    return docs.join(kept, ROW, "left_semi").select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents of which a twentieth or more of the words are passages of ``benchmark``."""
-    found = find_overlaps(docs.withColumn("__text", text_hash()), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__text")
-    gone = saved(found.where(contaminated()).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(gone, text_hash() == F.col("__gone"), "left_anti")
+    texts = docs.select(text_hash().alias("hash"), "text")
+    found = find_overlaps(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="hash")
+    gone = saved(found.where(contaminated()).select(F.col("doc_id").alias("hash")).distinct(), "contaminated")
+    return docs.alias("d").join(gone.alias("g"), F.xxhash64("d.text") == F.col("g.hash"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds at once when it works batch by batch.
 BATCH_BYTES = 2 << 20
+#: Rows of whole texts that come to a Python worker at once.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -93,8 +95,14 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
         yield b.slice(at)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches of at most BATCH_ROWS rows, unless the session says otherwise.
+
+    Spark's own default of 10,000 rows is hundreds of megabytes of long texts, in the executor and in its worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def flat_bytes(column: pa.Array):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import flat_bytes, sliced, text_of
+from bitquarry.llm.common import bounded_batches, flat_bytes, sliced, text_of
 from bitquarry.llm.text import ALNUM, distinct_by_row, words
 
 #: Hashed features, and the bytes of a word's beginning, by which unseen forms of a word are known.
@@ -159,6 +159,7 @@ def samples(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, tex
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[NonNegativePU, float]:
     """A model and its threshold from the documents for which ``usable`` (on doc_id) holds; no label of another is read."""
+    bounded_batches(docs.sparkSession)
     rows, share = samples(docs, labels, usable, id_col, text_col)
     if not share:
         return NonNegativePU(0.5), float("inf")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import filesystem, flat_bytes, saved, shared_dir, sliced, text_of, write_file
+from bitquarry.llm.common import bounded_batches, filesystem, flat_bytes, saved, shared_dir, sliced, text_of, write_file
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 MAGIC, BLOCK, FILE_IDS = b"BPK1", 1 << 13, 1 << 23
@@ -234,6 +234,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
     files of the attempts that counted.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col))
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted(set(rows.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []

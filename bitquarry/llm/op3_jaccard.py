@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import flat_bytes, saved, sliced, text_of
+from bitquarry.llm.common import bounded_batches, flat_bytes, saved, sliced, text_of
 from bitquarry.llm.components import components
 from bitquarry.llm.text import NOT_SPACE, distinct_by_row, mix, shingles, words
 
@@ -388,6 +388,7 @@ def linked(members: DataFrame, docs: DataFrame, measure: Jaccard, id_col: str, t
 
 def jaccard_components(docs: DataFrame, measure: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    bounded_batches(docs.sparkSession)
     own = described(docs, measure, id_col, text_col)
     live = own.where("n > 0 and doc_id is not null")
     nodes = saved(live.groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")

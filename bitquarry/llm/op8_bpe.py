@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import sliced, text_of
+from bitquarry.llm.common import bounded_batches, sliced, text_of
 
 TOKENIZER = "word_bpe_49k.json"
 _NONE = 1 << 62
@@ -32,7 +32,7 @@ _NONE = 1 << 62
 _SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROL = regex.compile("[\x1c-\x1f]")
 #: Entries that a worker's caches of pieces and of words hold before they are emptied, and the longest key that is kept.
-CHUNKS, WORDS, LONGEST = 400_000, 400_000, 48
+CHUNKS, WORDS, LONGEST = 250_000, 250_000, 48
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -179,6 +179,10 @@ class SegmentTreeBpe:
             at = m.end()
         return np.frombuffer(b"".join([*out, self._plain(text[at:])]), dtype="<u4")
 
+    def forget(self) -> None:
+        self.chunk_cache.clear()
+        self.word_cache.clear()
+
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder, so tokens are joined by spaces; unknown ids are left out."""
         return " ".join(map(self.names.__getitem__, ids))
@@ -201,6 +205,7 @@ def _each(path: str, emit: Callable[[SegmentTreeBpe, str], tuple], schema: pa.Sc
             rows = [emit(bpe, t) for t in b.column("text").to_pylist()]
             columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *columns], schema=schema)
+        bpe.forget()  # an idle worker keeps its memory
 
     return run
 
@@ -229,6 +234,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     SHA-256 of both, made in the same pass so that the ids need not leave the worker.
     """
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col))
     base = [("doc_id", pa.int64()), ("n_tokens", pa.int64())]
     if digests:

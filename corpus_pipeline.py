@@ -44,10 +44,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of documents alike in 0.8 of their five-word shingles, the one with the smallest id (null last)."""
     columns, docs = docs.columns, saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
     found = jaccard_components(docs, Jaccard(words=5, percent=80), id_col=ROW).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-    found = found.join(docs.select(F.col(ROW).alias("row"), "doc_id"), "row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    kept = saved(found.groupBy("group").agg(first).select(F.col("first.row").alias(ROW)), "kept")
-    return docs.join(kept, ROW, "left_semi").select(*columns)
+    found = saved(found.join(docs.select(F.col(ROW).alias("row"), "doc_id"), "row"), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    groups = found.groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", F.col("first.row").alias("first"))
+    gone = saved(found.join(groups, "group").where("row != first").select(F.col("row").alias(ROW)), "gone")
+    return docs.join(gone, ROW, "left_anti").select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

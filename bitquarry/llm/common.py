@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds at once when it works batch by batch.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Rows of whole texts that come to a Python worker at once.
 BATCH_ROWS = 2000
 
@@ -105,6 +108,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same generator, after which the worker gives freed memory back: idle workers stay beside others' tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return tidied
+
+
 def flat_bytes(column: pa.Array):
     """The UTF-8 bytes of a string or binary column without nulls as one array, and the row offsets in it."""
     import numpy as np

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import bounded_batches, flat_bytes, sliced, text_of
+from bitquarry.llm.common import bounded_batches, flat_bytes, sliced, text_of, tidy
 from bitquarry.llm.text import ALNUM, distinct_by_row, words
 
 #: Hashed features, and the bytes of a word's beginning, by which unseen forms of a word are known.
@@ -126,6 +126,7 @@ def with_features(rows: DataFrame, others: str) -> DataFrame:
     """Adds ``words``: the packed distinct hashed words of ``text``, which goes."""
     names = [c.split()[0] for c in others.split(",")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             index, bounds = features(*flat_bytes(b.column("text")))
@@ -198,6 +199,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: s
     """doc_id and score (0 to 1; 0.5 and more: toxic) of every whole text."""
     score = scorer(docs, labels, usable, id_col, text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score(b.column("text")))], names=["doc_id", "score"])
@@ -216,6 +218,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str
     """The documents that score under 0.5, with all their columns; texts stay in their partitions and pass through once."""
     score = scorer(docs, labels, usable, id_col, text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, text_col):
             yield b.filter(pa.array(score(b.column(text_col).cast(pa.string()).fill_null("")) < 0.5))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import bounded_batches, flat_bytes, saved, sliced, text_of
+from bitquarry.llm.common import bounded_batches, flat_bytes, saved, sliced, text_of, tidy
 from bitquarry.llm.components import components
 from bitquarry.llm.text import NOT_SPACE, distinct_by_row, mix, shingles, words
 
@@ -45,7 +45,7 @@ LEAF, FAN = 64, 8
 #: Groups of a point for sets of fewer shingles than stated: the bound stays sharp while sets have few shingles a group.
 GROUPS = ((4096, 128), (32768, 1024), (1 << 62, 8192))
 #: Bytes of text cut at once; bytes whose families a task folds at once.
-PIECE, CHUNK = 2 << 20, 16 << 20
+PIECE, CHUNK = 1 << 20, 16 << 20
 #: Tokens that don't make a group sign: so many at most, each in a share of some task's texts.
 FREQUENT, SHARE = 1 << 16, 0.004
 #: Tokens of a shard of a family (a larger set is one by itself): a task holds two shards.
@@ -258,6 +258,7 @@ class CountForest:
 def frequent_tokens(rows: DataFrame, measure: Jaccard) -> np.ndarray:
     """The tokens that most texts have, FREQUENT at most, sorted."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", PIECE):
             hashes, bounds = words(*flat_bytes(b.column("text")), NOT_SPACE)
@@ -273,6 +274,7 @@ def frequent_tokens(rows: DataFrame, measure: Jaccard) -> np.ndarray:
 def described(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
     """row (its number), doc_id, n, h1, h2 (the set's identity) of each text, written out."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", PIECE):
             values, bounds = measure.flat_sets(b.column("text"))
@@ -288,6 +290,7 @@ def families(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> D
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).where("doc_id is not null").select("text")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, measure))  # FREQUENT numbers at most
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, owners, nodes, held, seen = [], [], [], 0, 0
 
@@ -351,6 +354,7 @@ def linked(members: DataFrame, docs: DataFrame, measure: Jaccard, id_col: str, t
     # Few texts are shuffled that aren't asked for; the rest is one plan at every size.
     rows = rows.withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").drop("bucket").join(members.hint("merge"), "doc_id")
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", PIECE):
             values, bounds = measure.flat_sets(b.column("text"))
@@ -364,6 +368,7 @@ def linked(members: DataFrame, docs: DataFrame, measure: Jaccard, id_col: str, t
     blocks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     blocks = blocks.select("family", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "row", "tokens")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
 

@@ -25,7 +25,7 @@ import pyarrow.dataset as pads
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import filesystem, flat_bytes, shared_dir, sliced, text_of
+from bitquarry.llm.common import filesystem, flat_bytes, shared_dir, sliced, text_of, tidy
 from bitquarry.llm.text import ALNUM, words
 
 WINDOW = 13
@@ -183,6 +183,7 @@ class Phrases:
 def phrase_rows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """item_id and the packed word hashes of each of its windows; an item of fewer words is one."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", SHARD_BYTES):
             hashes, bounds = words(*flat_bytes(b.column("text")), ALNUM)
@@ -220,6 +221,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         if packed:
             yield Phrases(packed, items)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = None  # the phrases, if they are one block
         for b in sliced(batches, "text", SHARD_BYTES):

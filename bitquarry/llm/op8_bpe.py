@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import bounded_batches, sliced, text_of
+from bitquarry.llm.common import bounded_batches, sliced, text_of, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 _NONE = 1 << 62
@@ -199,6 +199,7 @@ def codec(path: str) -> SegmentTreeBpe:
 
 
 def _each(path: str, emit: Callable[[SegmentTreeBpe, str], tuple], schema: pa.Schema) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for b in sliced(batches, "text"):

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from bitquarry.llm.common import saved
 from bitquarry.llm.op1_toxicity import held_out, reject_toxic
-from bitquarry.llm.op3_jaccard import Jaccard, jaccard_components
+from bitquarry.llm.op3_jaccard import BUCKETS, Jaccard, jaccard_components
 from bitquarry.llm.op6_decontaminate import contaminated, find_overlaps
 from bitquarry.llm.op8_bpe import encode_decode
 from bitquarry.llm.op10_line_dedup import dedup_lines
 
 
-#: The number of a row while near duplicates are looked for; no table of documents has such a column.
-ROW = "__row_of_near_duplicates"
+#: The number of a row and its hash's bucket while near duplicates are looked for; no table of documents has such columns.
+ROW, BUCKET = "__row_of_near_duplicates", "__bucket_of_near_duplicates"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     groups = found.groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", F.col("first.row").alias("first"))
     gone = saved(found.join(groups, "group").where("row != first").select(F.col("row").alias(ROW)), "gone")
-    return docs.join(gone, ROW, "left_anti").select(*columns)
+    # Only documents in the buckets of those that go are shuffled; BUCKETS numbers at most are sent to all tasks.
+    bucket = F.pmod(F.xxhash64(F.col(ROW)), F.lit(BUCKETS))
+    asked, docs = F.broadcast(gone.select(bucket.alias(BUCKET)).distinct()), docs.withColumn(BUCKET, bucket)
+    rest = docs.join(asked, BUCKET, "left_semi").join(gone, ROW, "left_anti")
+    return docs.join(asked, BUCKET, "left_anti").select(*columns).unionByName(rest.select(*columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

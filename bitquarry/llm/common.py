@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python worker holds at once when it works batch by batch.
 BATCH_BYTES = 1 << 20
 #: Rows of whole texts that come to a Python worker at once.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

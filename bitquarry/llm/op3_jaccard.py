@@ -256,16 +256,26 @@ class CountForest:
 
 
 def frequent_tokens(rows: DataFrame, measure: Jaccard) -> np.ndarray:
-    """The tokens that most texts have, FREQUENT at most, sorted."""
+    """The tokens that most texts have, FREQUENT at most, sorted; counted where a share of some CHUNK of texts has them."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, n, held = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            tokens, count = np.unique(np.concatenate(sets), return_counts=True)
+            some = count >= max(4, SHARE * n)
+            return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(count[some])], names=["token", "n"])
+
         for b in sliced(batches, "text", PIECE):
-            hashes, bounds = words(*flat_bytes(b.column("text")), NOT_SPACE)
-            values, _ = distinct_by_row(*shingles(hashes, bounds, measure.words))
-            tokens, n = np.unique(values, return_counts=True)
-            some = n >= max(4, SHARE * b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(n[some])], names=["token", "n"])
+            sets.append(measure.flat_sets(b.column("text"))[0])
+            n += b.num_rows
+            held += int(flat_bytes(b.column("text"))[1][-1])
+            if held >= CHUNK:
+                yield flush()
+                sets, n, held = [], 0, 0
+        if sets:
+            yield flush()
 
     top = rows.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
     return np.sort(top.toArrow().column("token").to_numpy().view(np.uint64))

@@ -46,8 +46,8 @@ LEAF, FAN = 64, 8
 GROUPS = ((4096, 128), (32768, 1024), (1 << 62, 8192))
 #: Bytes of text cut at once; bytes whose families a task folds at once.
 PIECE, CHUNK = 1 << 20, 16 << 20
-#: Tokens that don't make a group sign: so many at most, each in a share of some task's texts.
-FREQUENT, SHARE = 1 << 16, 0.004
+#: Tokens that don't make a group sign: so many at most, each in a share of some chunk of texts.
+FREQUENT, SHARE = 1 << 16, 0.0005
 #: Tokens of a shard of a family (a larger set is one by itself): a task holds two shards.
 SHARD = 1 << 21
 #: Buckets of document ids, of which those that hold a wanted text are sent to all tasks.

@@ -74,13 +74,14 @@ def hamming_distance_string(
     ``lenient_digits``: ``@`` and `````` count as 9.
     """
     a, b = column(a), column(b)
+    distance = kernels.chosen(algo)(_digits(a, lenient_digits), _digits(b, lenient_digits), width)
     valid = rf"\A{LENIENT_DIGIT if lenient_digits else DIGIT}*\z"
     cases = _begun("long", error_mode, null_mode, [(a, ("string",)), (b, ("string",))])
     cases.error(F.octet_length(a) != F.octet_length(b), STRING_LENGTH)
-    cases.error(~a.rlike(valid) | ~b.rlike(valid), INVALID_CHAR)
+    cases.error(distance < 0 if kernels.by_arrow(algo, width) else ~a.rlike(valid) | ~b.rlike(valid), INVALID_CHAR)
     if width is not None:
         cases.error(F.octet_length(a) != width, STRING_LENGTH)
-    return cases.end(kernels.chosen(algo)(_digits(a, lenient_digits), _digits(b, lenient_digits), width))
+    return cases.end(distance)
 
 
 def hamming_distance_bytes(a: Column | str, b: Column | str, *, width: int | None = None, algo: str | None = None, error_mode: str = "raise", null_mode: str = "null") -> Column:
@@ -90,7 +91,10 @@ def hamming_distance_bytes(a: Column | str, b: Column | str, *, width: int | Non
     cases.error(F.octet_length(a) != F.octet_length(b), BYTES_LENGTH)
     if width is not None:
         cases.error(F.octet_length(a) != width, BYTES_LENGTH)
-    return cases.end(kernels.chosen(algo)(F.hex(a.cast("binary")), F.hex(b.cast("binary")), None if width is None else 2 * width))
+    digits = None if width is None else 2 * width
+    if kernels.by_arrow(algo, digits):
+        return cases.end(kernels.binary_apart(a, b))
+    return cases.end(kernels.chosen(algo)(F.hex(a.cast("binary")), F.hex(b.cast("binary")), digits))
 
 
 def check_hexstrings_within_dist(
@@ -156,8 +160,8 @@ def check_bytes_arrays_within_dist(
 ) -> Column:
     """Place (from 0) of the first element of a packed binary within ``max_dist`` bits of ``elem_to_compare``, or -1.
 
-    Elements are as wide as ``elem_to_compare``. With strategy ``extra`` the search stops at the first match;
-    the others look at each element.
+    Elements are as wide as ``elem_to_compare``. The search stops at the first match, but with the strategies ``classic`` and
+    ``sse41``, which look at each element.
     """
     big, small, k = column(array_of_elems), column(elem_to_compare), distance_limit(max_dist)
     cases = _begun("int", error_mode, null_mode, [(big, ("binary", "string")), (small, ("binary", "string")), (k, _INT)])
@@ -167,7 +171,7 @@ def check_bytes_arrays_within_dist(
     cases.error(k < 0, NEGATIVE_DIST_ARRAY)
     cases.error(F.octet_length(big) % size != 0, NOT_MULTIPLE)
     cases.value(F.octet_length(big) == 0, F.lit(-1))
-    if kernels.chosen(algo) is kernels.STRATEGIES["extra"]:
+    if kernels.by_arrow(algo, None):
         return cases.end(F.pandas_udf(_first_of_packed, "int")(big, small, k))
     elems = F.transform(F.sequence(F.lit(0), (F.octet_length(big) / size).cast("int") - 1), lambda i: F.substring(big, i * size + 1, size))
     return cases.end(first_within(elems, small, k))

@@ -1,21 +1,23 @@
 """Bit distance of two hex strings or binaries of equal, known-good form; four strategies with one result.
 
-``classic`` goes digit by digit, ``sse41`` by chunks of 16 digits of any number, ``native`` by words
-written out where the width is known (whole-stage codegen), ``extra`` by Arrow batches in numpy.
+``classic`` goes digit by digit, ``sse41`` by chunks of 16 digits of any number, ``extra`` by Arrow batches in numpy,
+on their buffers as they are. ``native`` is one word in whole-stage code where the width is known to fit it, else as ``extra``:
+a number from 16 digits costs more in the JVM than their way to Python. Join conditions take ``decoded`` codes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 CONF, DEFAULT = "bitquarry.algo", "native"
 DIGITS = 16  # of one 64-bit word, the most that conv() takes
-#: Words that are written out; wider values go by chunks.
-UNROLLED = 64
+#: What each byte counts as a hex digit; 255 for those that are none.
+NIBBLE = bytes(int(chr(c), 16) if chr(c) in "0123456789abcdefABCDEF" else 255 for c in range(256))
 
 
 def word(digits: Column) -> Column:
@@ -43,34 +45,67 @@ def _chunks(a: Column, b: Column, width: int | None) -> Column:
 
 
 def _words(a: Column, b: Column, width: int | None) -> Column:
-    if width is None or width > UNROLLED * DIGITS:
-        return _chunks(a, b, width)
-    total = F.lit(0).cast("long")
-    for at in range(0, width, DIGITS):
-        size = min(DIGITS, width - at)
-        total = total + bits_apart(word(F.substring(a, at + 1, size)), word(F.substring(b, at + 1, size)))
-    return total
+    return _arrow(a, b, width) if width is None or width > DIGITS else bits_apart(word(a), word(b)) if width else F.lit(0).cast("long")
+
+
+def _flat(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary array without nulls, and the rows' bounds in them."""
+    wide = pa.types.is_large_string(x.type) or pa.types.is_large_binary(x.type)
+    _, bounds, data = x.buffers()
+    bounds = np.frombuffer(bounds, np.int64 if wide else np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+    if data is None or bounds[-1] == bounds[0]:
+        return np.zeros(0, np.uint8), bounds - bounds[0]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _row_sums(apart: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bits set in each row's bytes; eight bytes at once where all rows have a width that allows it."""
+    n, sizes = len(bounds) - 1, np.diff(bounds)
+    out = np.zeros(n, np.int64)
+    if not len(apart):
+        return out
+    width = int(sizes[0])
+    if (sizes == width).all():
+        words = apart.view(np.uint64) if width % 8 == 0 else apart
+        return np.bitwise_count(words).reshape(n, -1).sum(axis=1, dtype=np.int64)
+    some = np.flatnonzero(sizes)
+    out[some] = np.add.reduceat(np.bitwise_count(apart), bounds[some], dtype=np.int64)
+    return out
+
+
+def _paired(a: pa.Array, b: pa.Array, digits: bool) -> pa.Array:
+    """Distances; -1 where a byte is no digit. Rows of unlike widths, which are an error of the caller's, get 0."""
+    fit = np.diff(_flat(a)[1]) == np.diff(_flat(b)[1])
+    out = np.zeros(len(a), np.int64)
+    if not fit.all():
+        a, b = a.filter(pa.array(fit)), b.filter(pa.array(fit))
+    (x, bounds), (y, _) = _flat(a), _flat(b)
+    if digits:
+        x, y = (np.frombuffer(v.tobytes().translate(NIBBLE), np.uint8) for v in (x, y))
+    apart = np.bitwise_xor(x, y)
+    found = _row_sums(apart, bounds)
+    if digits and len(x) and (bad := np.flatnonzero((x | y) > 15)).size:
+        found[np.searchsorted(bounds, bad, side="right") - 1] = -1
+    out[fit] = found
+    return pa.array(out)
 
 
-def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Rows of one width are compared together."""
-    import numpy as np
+def _digit_distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _paired(a, b, True)
 
-    out = np.zeros(len(a), np.int64)
-    width = a.str.len().fillna(-1).to_numpy()
-    for w in np.unique(width[width > 0]).astype(int):
-        at = np.flatnonzero(width == w)
-        pad = "0" * (w % 2)
-        x, y = (np.frombuffer(bytes.fromhex("".join(pad + v for v in s.iloc[at])), np.uint8).reshape(len(at), -1) for s in (a, b))
-        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-    return pd.Series(out)
+
+def _byte_distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _paired(a, b, False)
 
 
 def _arrow(a: Column, b: Column, width: int | None) -> Column:
-    # A UDF is evaluated for all rows, whatever guards stand around it: what isn't fit to compare is blanked first.
-    fit = a.rlike(r"\A[0-9a-fA-F]+\z") & b.rlike(r"\A[0-9a-fA-F]+\z") & (F.length(a) == F.length(b))
-    f = F.pandas_udf(_distances, "long")
-    return f(F.when(fit, a).otherwise(""), F.when(fit, b).otherwise(""))
+    """-1 where either has a byte that is no digit; a UDF is evaluated for all rows, whatever guards stand around it."""
+    return F.arrow_udf(_digit_distances, "long")(*(F.coalesce(x.cast("string"), F.lit("")) for x in (a, b)))
+
+
+def binary_apart(a: Column, b: Column) -> Column:
+    """Distance of binaries of equal length by Arrow batches."""
+    return F.arrow_udf(_byte_distances, "long")(*(F.coalesce(x.cast("binary"), F.lit(bytearray())) for x in (a, b)))
 
 
 STRATEGIES: dict[str, Callable[[Column, Column, int | None], Column]] = {"classic": _classic, "sse41": _chunks, "native": _words, "extra": _arrow}
@@ -82,3 +117,9 @@ def chosen(algo: str | None) -> Callable[[Column, Column, int | None], Column]:
         spark = SparkSession.getActiveSession()
         algo = spark.conf.get(CONF, DEFAULT) if spark else DEFAULT
     return STRATEGIES[algo]
+
+
+def by_arrow(algo: str | None, width: int | None) -> bool:
+    """Whether the strategy asks Python for digits of this width, which then also finds those that are none."""
+    chosen_one = chosen(algo)
+    return chosen_one is _arrow or (chosen_one is _words and (width is None or width > DIGITS))

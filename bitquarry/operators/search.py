@@ -59,8 +59,8 @@ def first_match_long(packed: DataFrame, id_col: str, elem: bytes, limit: int, pi
 
     size = piece * len(elem)
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.octet_length("packed").cast("long") - 1, F.lit(0).cast("long")), F.lit(size).cast("long"))
-    parts = packed.select(F.col(id_col).alias("id"), "packed", F.explode(starts).alias("start"))
-    parts = parts.select("id", "start", F.substring(F.col("packed"), (F.col("start") + 1).cast("int"), F.lit(size)).alias("part"))
+    pieces = F.transform(starts, lambda start: F.struct(start.alias("start"), F.substring(F.col("packed"), (start + 1).cast("int"), F.lit(size)).alias("part")))
+    parts = packed.select(F.col(id_col).alias("id"), F.inline(pieces))
     place = check_bytes_arrays_within_dist("part", F.lit(bytearray(elem)), limit, algo="extra")
     found = parts.select("id", "start", place.alias("p"))
     whole = F.when(F.col("p") >= 0, F.col("start") / len(elem) + F.col("p"))

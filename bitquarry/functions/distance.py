@@ -98,7 +98,7 @@ def hamming_distance_bytes(a: Column | str, b: Column | str, *, width: int | Non
 
 
 def check_hexstrings_within_dist(
-    a: Column | str, b: Column | str, max_dist: Column | int, *, lenient_digits: bool = False, error_mode: str = "raise", null_mode: str = "null"
+    a: Column | str, b: Column | str, max_dist: Column | int, *, algo: str | None = None, lenient_digits: bool = False, error_mode: str = "raise", null_mode: str = "null"
 ) -> Column:
     """Whether two hex strings differ in at most ``max_dist`` bits.
 
@@ -113,10 +113,15 @@ def check_hexstrings_within_dist(
     cases.error(k < 0, NEGATIVE_DIST)
     cases.value(k > F.octet_length(a), F.lit(True))
     cases.value(a == b, F.lit(True))
+    if kernels.by_arrow(algo, None):
+        begun = kernels.begun_apart(_digits(a, lenient_digits), _digits(b, lenient_digits))
+        cases.value(F.when(begun < 0, -1 - begun).otherwise(begun) > k, F.lit(False))
+        cases.error(begun < 0, INVALID_CHAR)
+        return cases.end(F.lit(True))
     good = lambda x: F.octet_length(F.regexp_extract(x, rf"\A{digit}*", 0))
     upto = F.least(good(a), good(b))
     begin = lambda x: _digits(F.substring(x, F.lit(1), upto), lenient_digits)
-    cases.value(kernels.STRATEGIES["sse41"](begin(a), begin(b), None) > k, F.lit(False))
+    cases.value(kernels.chosen(algo)(begin(a), begin(b), None) > k, F.lit(False))
     cases.error(upto < F.octet_length(a), INVALID_CHAR)
     return cases.end(F.lit(True))
 

@@ -94,6 +94,16 @@ def _digit_distances(a: pa.Array, b: pa.Array) -> pa.Array:
     return _paired(a, b, True)
 
 
+def _begun_distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Distances; where a byte is no digit, -1 less the distance of what stands before it. For rows of unlike widths see above."""
+    found = _paired(a, b, True).to_numpy(zero_copy_only=False).copy()
+    for i in np.flatnonzero(found < 0).tolist():
+        x, y = (np.frombuffer(v[i].as_buffer().to_pybytes().translate(NIBBLE), np.uint8) for v in (a, b))
+        upto = int(np.argmax((x | y) > 15))
+        found[i] = -1 - int(np.bitwise_count(x[:upto] ^ y[:upto]).sum(dtype=np.int64))
+    return pa.array(found)
+
+
 def _byte_distances(a: pa.Array, b: pa.Array) -> pa.Array:
     return _paired(a, b, False)
 
@@ -103,6 +113,10 @@ def _arrow(a: Column, b: Column, width: int | None) -> Column:
     return F.arrow_udf(_digit_distances, "long")(*(F.coalesce(x.cast("string"), F.lit("")) for x in (a, b)))
 
 
+def begun_apart(a: Column, b: Column) -> Column:
+    return F.arrow_udf(_begun_distances, "long")(*(F.coalesce(x.cast("string"), F.lit("")) for x in (a, b)))
+
+
 def binary_apart(a: Column, b: Column) -> Column:
     """Distance of binaries of equal length by Arrow batches."""
     return F.arrow_udf(_byte_distances, "long")(*(F.coalesce(x.cast("binary"), F.lit(bytearray())) for x in (a, b)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitquarry.functions.distance import hamming_distance_string
-from bitquarry.plans.joins import theta_join, threshold_join
+from bitquarry.plans.joins import block_nearest, ids_with_neighbour, threshold_join
 
 
 def similarity_filter(df: DataFrame, code: str, query: str, limit: int) -> DataFrame:
@@ -22,20 +22,18 @@ def pairs_within(codes: DataFrame, limit: int) -> DataFrame:
 
 def with_neighbour(codes: DataFrame, others: DataFrame, limit: int) -> DataFrame:
     """Ids that have another id within the limit (semi join)."""
-    return codes.join(threshold_join(codes, others, limit, F.col("a.id") != F.col("b.id")).select(F.col("a_id").alias("id")).distinct(), "id", "left_semi").select("id")
+    return codes.join(ids_with_neighbour(codes, others, limit), "id", "left_semi").select("id")
 
 
 def without_neighbour(codes: DataFrame, others: DataFrame, limit: int) -> DataFrame:
     """Ids that have none (anti join)."""
-    return codes.join(threshold_join(codes, others, limit, F.col("a.id") != F.col("b.id")).select(F.col("a_id").alias("id")).distinct(), "id", "left_anti").select("id")
+    return codes.join(ids_with_neighbour(codes, others, limit), "id", "left_anti").select("id")
 
 
 def nearest(codes: DataFrame, others: DataFrame, k: int) -> DataFrame:
     """The k nearest others of each id, ties to the smaller id: a_id, rank, b_id, dist."""
-    bits = 64 * (len(codes.columns) - 1)
-    all_pairs = theta_join(codes, others, bits, F.col("a.id") != F.col("b.id"))
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy("dist", "b_id"))
-    return all_pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("a_id", "rank", "b_id", "dist")
+    return block_nearest(codes, others, k).withColumn("rank", rank).where(F.col("rank") <= k).select("a_id", "rank", "b_id", "dist")
 
 
 def nearest_to(df: DataFrame, code: str, query: str, k: int, tie: str) -> DataFrame:

@@ -138,9 +138,25 @@ def test_nulls_and_options(spark):
         one(spark, hamming_distance_string(F.lit("00"), F.lit("00"), width=3))
 
 
-def test_within(spark):
+@pytest.mark.parametrize("algo", sorted(STRATEGIES))
+def test_within(spark, algo):
     df = spark.createDataFrame(WITHIN, "a string, b string, k long, e boolean")
-    assert all(r.e == r.d for r in df.select("e", check_hexstrings_within_dist("a", "b", F.col("k")).alias("d")).collect())
+    assert all(r.e == r.d for r in df.select("e", check_hexstrings_within_dist("a", "b", F.col("k"), algo=algo).alias("d")).collect())
+
+
+def test_rows_of_many_widths_with_nulls_and_bad_digits(spark):
+    rows = [("0f" * i, "f0" * i) for i in range(40)] + [(None, "00"), ("00", None), ("00", "0g"), ("0" * 64, "0" * 63 + "é"[:1]), ("00", "000")]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    got = df.select(hamming_distance_string("a", "b", algo="extra", error_mode="null").alias("d")).collect()
+    assert [r.d for r in got] == [8 * i for i in range(40)] + [None] * 5
+    binaries = df.limit(40).select(F.unhex("a").alias("a"), F.unhex("b").alias("b"))
+    assert [r.d for r in binaries.select(hamming_distance_bytes("a", "b", algo="extra").alias("d")).collect()] == [8 * i for i in range(40)]
+
+
+def test_version():
+    import bitquarry
+
+    assert bitquarry.__version__ == "0.1.0"
 
 
 @pytest.mark.parametrize(("a", "b", "k", "message"), WITHIN_ERRORS)

@@ -10,7 +10,7 @@ from tables import SF
 
 from bitquarry import queries
 from bitquarry.operators import search
-from bitquarry.plans.joins import band_join, bands, share_left, theta_join, threshold_join
+from bitquarry.plans.joins import BLOCK, band_join, bands, block_join, share_left, theta_join, threshold_join
 from bitquarry.sources.fingerprints import decoded
 from bitquarry.streaming.stateless import stream_within
 
@@ -35,10 +35,25 @@ def test_joins_agree(spark, codes, limit):
     df = decoded(spark.createDataFrame(codes, "id long, code string"), "id", "code", 32)
     extra = F.col("a.id") < F.col("b.id")
     want = sorted((a, b, d) for a, x in codes for b, y in codes if a < b and (d := (int(x, 16) ^ int(y, 16)).bit_count()) <= limit)
-    for join in (theta_join, band_join, threshold_join):
+    for join in (theta_join, band_join, block_join, threshold_join):
         assert sorted(map(tuple, join(df, df, limit, extra).collect())) == want
 
 
+def test_blocks_of_any_size(spark, codes, monkeypatch):
+    monkeypatch.setattr("bitquarry.plans.joins.BLOCK", BLOCK // 128)
+    df = decoded(spark.createDataFrame(codes, "id long, code string"), "id", "code", 32)
+    number = {i: int(c, 16) for i, c in codes}
+    apart = {a: sorted(((x ^ y).bit_count(), b) for b, y in number.items() if a != b) for a, x in number.items()}
+    for limit in (0, 12, 40):
+        have = {a for a, near in apart.items() if near[0][0] <= limit}
+        assert {r.id for r in search.with_neighbour(df, df, limit).collect()} == have
+        assert {r.id for r in search.without_neighbour(df, df, limit).collect()} == set(number) - have
+        assert block_join(df, df, limit).count() == sum(d <= limit for near in apart.values() for d, _ in near) + len(number)
+    assert sorted(map(tuple, search.nearest(df, df, 4).collect())) == [(a, k + 1, b, d) for a in sorted(apart) for k, (d, b) in enumerate(apart[a][:4])]
+    none = df.where("id < 0")
+    assert block_join(none, df, 3).count() == block_join(df, none, 3).count() == search.nearest(df, none, 2).count() == 0
+
+
 def test_bands_share_out_all_bits():
     for bits in (64, 128, 192):
         for limit in (0, 1, 6, 20, 63):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from bitquarry.functions.kernels import STRATEGIES
 from bitquarry.functions.sql import register
 from bitquarry.operators import search
 from bitquarry.plans.joins import band_join, theta_join
-from bitquarry.sources.fingerprints import decoded, sign_code, table
+from bitquarry.sources.fingerprints import decoded, shared_folder, sign_code, stream, table
+from bitquarry.streaming.stateless import stream_within
 
 LIMIT, NARROW = 20, 6
 
@@ -162,10 +164,51 @@ def label_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sum_dist"), "quality", "toxic")))
 
 
+def long_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p4, with each packed row cut into pieces that are searched apart."""
+    packed = F.unhex(F.array_join(F.transform("elems", lambda e: F.hex(e)), ""))
+    rows = _elements(spark, sf_dir, 50).select("user_id", packed.alias("packed"))
+    return search.first_match_long(rows, "user_id", md5(b"probe").digest(), 50, piece=8).select(F.col("id").alias("user_id"), "place")
+
+
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents near one constant, another, both, or the first alone."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("code"))
+    a, b = (search.similarity_filter(rows, "code", q, 60).select("doc_id") for q in ("0" * 32, "0f" * 16))
+    kinds = {"either": a.union(b).distinct(), "both": a.intersect(b), "first": a.exceptAll(b)}
+    out = [df.select(F.lit(kind).alias("kind"), "doc_id") for kind, df in kinds.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _from_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("lang", "source", hamming_distance_string(F.md5("text"), F.lit("0" * 32), width=32).alias("d"))
+
+
+def group_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances from a constant by all subsets of language and source; ``level`` tells a subtotal from a null."""
+    return _from_zero(spark, sf_dir).cube("lang", "source").agg(F.grouping_id("lang", "source").cast("long").alias("level"), F.count("*").alias("n"), F.sum("d").alias("sum_dist"))
+
+
+def group_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by language and by source, without their combinations."""
+    lang, source = F.col("lang"), F.col("source")
+    sums = _from_zero(spark, sf_dir).groupingSets([[lang], [source]], lang, source).agg(F.count("*").alias("n"), F.sum("d").alias("sum_dist"), F.grouping_id().cast("long").alias("level"))
+    return sums.select("lang", "source", "level", "n", "sum_dist")
+
+
+def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """similarity_filter over a stream, written to files that outlive lost executors and read back."""
+    path = shared_folder(spark, "stream")
+    near = stream_within(stream(spark, sf_dir, "documents"), "text", "0" * 32, 56).select("doc_id", "dist")
+    near.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(near.schema).parquet(f"{path}/out")
+
+
 _ALL = (
     p1_string_distance, p1_sha256_distance, p1_odd_width, p2_bytes_distance, p3_within_dist, p4_first_match, p4_packed_first_match, p5_strategy_invariance,
     sql_functions, group_stats, similarity_filter, similarity_join, band_join_narrow, theta_join_narrow, semi_join, anti_join, top_k_neighbours,
     nearest_to_constant, distance_histogram, consecutive_distance, exact_duplicates, label_distance,
+    long_first_match, set_operations, group_cube, group_sets, stream_filter,
 )
 
 
@@ -195,6 +238,8 @@ def oracle_sql() -> dict[str, str]:
     first = f"""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place,
         {_xor("md5(event_type || '|' || event_id)", probe)} AS d FROM events)
         SELECT user_id, CAST(coalesce(min(place) FILTER (WHERE d <= 50), -1) AS INTEGER) AS place FROM e GROUP BY user_id"""
+    near_zero, near_other = (f"SELECT doc_id FROM documents WHERE {_xor('md5(text)', q)} <= 60" for q in (zero, "'" + "0f" * 16 + "'"))
+    from_zero = f"(SELECT lang, source, {_xor('md5(text)', zero)} AS d FROM documents)"
     near = f"SELECT DISTINCT a.id FROM c a JOIN c b ON a.id <> b.id WHERE {_DIST} <= {LIMIT}"
     return {
         "p1_string_distance": f"WITH {_next('md5(text)')} SELECT doc_id, {_xor('a', 'b')} AS dist FROM n",
@@ -226,4 +271,11 @@ def oracle_sql() -> dict[str, str]:
         "exact_duplicates": "SELECT md5(text) AS code, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
         "label_distance": f"""WITH s AS (SELECT quality, toxic, count(*) AS n, CAST(sum({_xor('md5(text)', zero)}) AS BIGINT) AS sum_dist FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)
             SELECT *, CAST(row_number() OVER (ORDER BY sum_dist DESC, quality, toxic) AS INTEGER) AS rank FROM s""",
+        "long_first_match": first,
+        "set_operations": f"""SELECT 'either' AS kind, doc_id FROM ({near_zero} UNION {near_other}) UNION ALL SELECT 'both', doc_id FROM ({near_zero} INTERSECT {near_other})
+            UNION ALL SELECT 'first', doc_id FROM ({near_zero} EXCEPT ALL {near_other})""",
+        "group_cube": f"SELECT lang, source, CAST(grouping(lang, source) AS BIGINT) AS level, count(*) AS n, CAST(sum(d) AS BIGINT) AS sum_dist FROM {from_zero} GROUP BY CUBE (lang, source)",
+        "group_sets": f"""SELECT lang, source, CAST(grouping(lang, source) AS BIGINT) AS level, count(*) AS n, CAST(sum(d) AS BIGINT) AS sum_dist
+            FROM {from_zero} GROUP BY GROUPING SETS ((lang), (source))""",
+        "stream_filter": f"SELECT doc_id, {_xor('md5(text)', zero)} AS dist FROM documents WHERE {_xor('md5(text)', zero)} <= 56",
     }

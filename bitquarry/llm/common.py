@@ -19,15 +19,20 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 1 << 20
 #: Rows of whole texts that come to a Python worker at once.
 BATCH_ROWS = 1000
+#: Schemes that Spark's file systems have and Arrow's know by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is unset (tests on one machine) a local folder is made and set.
+    Only where that setting is unset and the master is local (tests on one machine) a local folder is made and set;
+    on a cluster without the setting each executor would write to its own disk, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="bitquarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -58,8 +63,11 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI and the path within it."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+    """The file system of a URI, by Spark's schemes, and the path within it."""
+    scheme, colon, rest = uri.partition("://")
+    if not colon:
+        scheme, rest = "file", uri.removeprefix("file:")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def write_file(uri: str, data: bytes) -> None:
@@ -78,6 +86,14 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it where the table has such a column, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit("")).alias("text")
 

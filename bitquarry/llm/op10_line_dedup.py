@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bitquarry.llm.common import free_name
+
 EDITS, LEAST = 2, 20
 
 
@@ -181,11 +183,12 @@ def removed(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their late lines taken out; all columns stay as they are but the text."""
-    gone = removed(docs, edits, least, id_col, text_col)
-    both = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__own")), "left")
+    found, own, places = (free_name(docs, c) for c in ("__id", "__own", "__gone"))
+    gone = removed(docs, edits, least, id_col, text_col).toDF(found, own, places)
+    both = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(found)) & (text_key(text_col) == F.col(own)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col(places), i)), "\n")
+    text = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(kept)
     return both.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 

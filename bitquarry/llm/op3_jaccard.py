@@ -5,9 +5,11 @@ A text's set is its distinct hashes of k-word shingles. Its tokens are hashed in
 1. Families. Two sets over the threshold differ in at most d tokens, d by their sizes, so of d + 1 groups one holds
    the same tokens in both: each set's groups, by the hash of what they hold, are its signatures, and sets that share one
    are of one family, directly or through others. Sizes are parted into bands so wide that only neighbours
-   can link; each set signs for its own band and the next. Some groups more than d + 1 are made, so that groups
-   without a token that is rare in the corpus need not sign, as long as a set has no more of them than those.
-   Each task folds the families of its own texts before anything is shuffled.
+   can link; each set signs for its own band and the next. Some groups more than d + 1 are made, and as many need not
+   sign: in each set those that say least, empty ones and then those whose tokens are the most frequent in the corpus.
+   Each task folds the families of its own texts before anything is shuffled, and packs what is left: a signature is
+   shuffled as its gap from the one before it and a short hash of its set, 10 bytes together. Signatures
+   and sets that the shorter hashes confuse only make a family larger, for links are verified on the sets.
 2. Join. The sets of a family, in shards of bounded size if it is large, are joined shard by shard: a set is the
    point of its counts by group, R-trees index the points, two sets share at most the sum of the smaller counts, and
    with anything below a tree's node at most the sum of the minima with the node's largest counts. What the bounds
@@ -32,10 +34,10 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import bounded_batches, flat_bytes, saved, sliced, text_of, tidy
+from bitquarry.llm.common import bounded_batches, drop_shuffles, flat_bytes, saved, sliced, text_of, tidy
 from bitquarry.llm.components import components
 from bitquarry.llm.text import NOT_SPACE, distinct_by_row, mix, shingles, words
 
@@ -46,8 +48,12 @@ LEAF, FAN = 64, 8
 GROUPS = ((4096, 128), (32768, 1024), (1 << 62, 8192))
 #: Bytes of text cut at once; bytes whose families a task folds at once.
 PIECE, CHUNK = 1 << 20, 16 << 20
-#: Tokens that don't make a group sign: so many at most, each in a share of some chunk of texts.
+#: Tokens that count as frequent: so many at most, each in a share of some chunk of texts.
 FREQUENT, SHARE = 1 << 16, 0.0005
+#: Signatures are cut to KEY_BITS, sets' first hashes to NODE_BITS: of 10^10 signatures and 4 * 10^7 sets, some hundred thousand
+#: and some hundred pairs meet by chance. A chunk's signatures are dealt by their first RANGE_BITS; what follows those, and a node,
+#: takes 40 bits at most.
+KEY_BITS, NODE_BITS, RANGE_BITS = 48, 40, 12
 #: Tokens of a shard of a family (a larger set is one by itself): a task holds two shards.
 SHARD = 1 << 21
 #: Buckets of document ids, of which those that hold a wanted text are sent to all tasks.
@@ -109,17 +115,23 @@ def identities(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures (unsigned) of the sets, and the set of each. ``frequent``: sorted tokens that don't make a group sign."""
+def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (unsigned) of the sets, and the set of each. ``frequent``, ``counts``: sorted tokens that many texts have, and how many.
+
+    A set's groups are in an order that what they hold alone fixes: those with a token that isn't frequent, then the others by their rarest token,
+    the more frequent the later, empty ones last. The last ``spare`` of them don't sign. Of the more than ``spare`` groups that hold the same in two sets that link, the first
+    in this order is then none of the last ``spare`` of either.
+    """
     at, (groups, spare) = bands(percent), levels(percent)
     n = np.diff(bounds)
     live = np.flatnonzero(n > 0)
     if not len(live):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     own = np.searchsorted(at, n, side="right") - 1
-    rare = np.ones(len(values), bool)
+    rarity = np.full(len(values), 63, np.uint8)
     if len(frequent):
-        rare = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] != values
+        found = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+        rarity = np.where(frequent[found] == values, (62 - np.log2(counts).astype(np.uint8))[found], rarity)
     hashed, spread = mix(values ^ np.uint64(0xD6E8FEB86659FD93)), (values >> np.uint64(32)).astype(np.int64)
     low, high = (hashed & np.uint64(0xFFFFFFFF)).astype(np.float64), (hashed >> np.uint64(32)).astype(np.float64)
     names, owners = [], []
@@ -127,17 +139,22 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, frequent: n
         level = np.where(n > 0, own + up, 0)
         g = np.where(n > 0, groups[level], 0)
         first = np.concatenate([[0], np.cumsum(g)])
-        place = np.repeat(first[:-1], n) + (spread * np.repeat(g, n) >> 32)
+        place = np.repeat(first[:-1], n) + (spread * np.repeat(g, n) >> 32)  # ascending, as a set's values are
         total = first[-1]
         # Sums of 32-bit halves are exact in doubles for sets of fewer than 2^21 tokens a group.
         sums = np.bincount(place, weights=low, minlength=total).astype(np.uint64) + (np.bincount(place, weights=high, minlength=total).astype(np.uint64) << np.uint64(32))
-        strong = np.bincount(place, weights=rare, minlength=total) > 0
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        rank = np.zeros(total, np.uint64)
+        rank[place[starts]] = np.maximum.reduceat(rarity, starts)
         owner = np.repeat(np.arange(len(n)), g)
-        weak = g - np.add.reduceat(np.concatenate([strong, [False]]).astype(np.int64), np.minimum(first[:-1], total))
-        signs = strong | (weak > spare[level])[owner]
         number = np.arange(total) - np.repeat(first[:-1], g)
         tag = (level.astype(np.uint64)[owner] << np.uint64(40)) + number.astype(np.uint64)
-        names.append(mix(sums[signs] ^ mix(tag[signs])))
+        name = mix(sums ^ mix(tag))
+        rank = (rank << np.uint64(58)) | (name >> np.uint64(6))
+        order = np.lexsort((rank, owner))
+        least = rank[order[first[:-1][live] + spare[level[live]]]]  # of each set's groups that sign; any alike sign too
+        signs = rank >= np.repeat(least, g[live])
+        names.append(name[signs])
         owners.append(owner[signs])
     return np.concatenate(names), np.concatenate(owners)
 
@@ -169,6 +186,51 @@ def folded_families(names: np.ndarray, owners: np.ndarray, nodes: np.ndarray) ->
     return np.concatenate([names[starts], keys]).view(np.int64), np.concatenate([nodes[owners[starts]], nodes[family]])
 
 
+def packed(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """Signatures and their sets' first hashes, a row for each range of signatures: the gaps between those in ascending order, and the nodes.
+
+    Numbers are stored as their lower 32 and upper 8 bits; in chunks of the usual size the gaps' upper bits are zeros, which the shuffle's compression takes out.
+    """
+    keys, nodes = keys.view(np.uint64) >> np.uint64(64 - KEY_BITS), short_nodes(nodes)
+    order = np.argsort(keys)
+    keys, nodes = keys[order], nodes[order]
+    low = np.uint64(KEY_BITS - RANGE_BITS)
+    ranges, starts = np.unique(keys >> low, return_index=True)
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    gaps[starts] = keys[starts] - (ranges << low)
+    ends = np.append(starts, len(keys))
+
+    def column(values: np.ndarray) -> pa.Array:
+        offsets = (ends * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ranges), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+    halves = [column(half) for x in (gaps, nodes) for half in (x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8))]
+    return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), *halves], names=["range", "gaps", "gaps_up", "nodes", "nodes_up"])
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures (cut to KEY_BITS) and short nodes of ``packed`` rows."""
+    (gaps, bounds), (gaps_up, starts), (nodes, _), (nodes_up, _) = (flat_bytes(batch.column(c)) for c in ("gaps", "gaps_up", "nodes", "nodes_up"))
+    gaps, nodes = (low.view(np.uint32).astype(np.uint64) | (up.astype(np.uint64) << np.uint64(32)) for low, up in ((gaps, gaps_up), (nodes, nodes_up)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gaps)])
+    first = (batch.column("range").to_numpy().astype(np.uint64) << np.uint64(KEY_BITS - RANGE_BITS)) - sums[starts[:-1]]  # wraps around, and back
+    return sums[1:] + np.repeat(first, np.diff(starts)), nodes
+
+
+def short_nodes(nodes: np.ndarray) -> np.ndarray:
+    return nodes.view(np.uint64) >> np.uint64(64 - NODE_BITS)
+
+
+def meetings(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a node and the least node with which it shares a signature."""
+    order = np.argsort(keys)
+    keys, nodes = keys[order], nodes[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    low = np.repeat(np.minimum.reduceat(nodes, starts), np.diff(np.append(starts, len(keys)))) if len(keys) else nodes
+    met = np.unique(np.stack([nodes, low], axis=1)[nodes != low], axis=0)
+    return met[:, 0], met[:, 1]
+
+
 def point(tokens: np.ndarray) -> np.ndarray:
     groups = next(g for most, g in GROUPS if len(tokens) < most)
     return np.minimum(np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
@@ -255,8 +317,8 @@ class CountForest:
         return [places[i] for groups, (tree, places) in self.trees.items() for i in tree.near(folded(p, groups), size).tolist()]
 
 
-def frequent_tokens(rows: DataFrame, measure: Jaccard) -> np.ndarray:
-    """The tokens that most texts have, FREQUENT at most, sorted; counted where a share of some CHUNK of texts has them."""
+def frequent_tokens(rows: DataFrame, measure: Jaccard) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that most texts have, FREQUENT at most, sorted, and their counts; counted where a share of some CHUNK of texts has them."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +340,10 @@ def frequent_tokens(rows: DataFrame, measure: Jaccard) -> np.ndarray:
             yield flush()
 
     top = rows.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
-    return np.sort(top.toArrow().column("token").to_numpy().view(np.uint64))
+    found = top.toArrow()
+    tokens, counts = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
 
 
 def described(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
@@ -296,7 +361,7 @@ def described(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) ->
 
 
 def families(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
-    """Step 1: node (the first hash of a set) and family of each set that shares a signature with another, written out."""
+    """Step 1: node (short, of a set's first hash) and family of each set that shares a signature with another, written out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).where("doc_id is not null").select("text")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, measure))  # FREQUENT numbers at most
 
@@ -305,13 +370,12 @@ def families(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> D
         names, owners, nodes, held, seen = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            key, node = folded_families(np.concatenate(names), np.concatenate(owners), np.concatenate(nodes))
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
+            return packed(*folded_families(np.concatenate(names), np.concatenate(owners), np.concatenate(nodes)))
 
         for b in sliced(batches, "text", PIECE):
             values, bounds = measure.flat_sets(b.column("text"))
             node, _ = identities(values, bounds)
-            name, owner = signatures(values, bounds, measure.percent, frequent.value)
+            name, owner = signatures(values, bounds, measure.percent, *frequent.value)
             names.append(name)
             owners.append(owner + seen)
             nodes.append(node)
@@ -323,15 +387,41 @@ def families(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> D
         if nodes:
             yield flush()
 
-    there = Window.partitionBy("key")
-    signed = rows.mapInArrow(run, "key long, node long")
-    met = signed.select("node", F.min("node").over(there).alias("low"), F.max("node").over(there).alias("high")).where("low < high and node != low")
-    return components(saved(met.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "relatives")).select("node", F.col("label").alias("family"))
+    @tidy
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes = [], []
+
+        def flush(keep: int) -> pa.RecordBatch:
+            """What meets below signature ``keep``; the rest stays held."""
+            k, n = np.concatenate(keys), np.concatenate(nodes)
+            done = k < np.uint64(keep)
+            keys[:], nodes[:] = [k[~done]], [n[~done]]
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in meetings(k[done], n[done])], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, n = unpacked(b)
+            keys.append(k)
+            nodes.append(n)
+            last = b.column("range")[-1].as_py() << (KEY_BITS - RANGE_BITS)
+            if int(keys[0][0]) < last:
+                yield flush(last)
+        if keys:
+            yield flush(1 << KEY_BITS)
+
+    signed = rows.mapInArrow(run, "range int, gaps binary, gaps_up binary, nodes binary, nodes_up binary")
+    met = signed.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "a long, b long")
+    relatives = saved(met.distinct(), "relatives")
+    drop_shuffles(docs.sparkSession)
+    return components(relatives).select("node", F.col("label").alias("family"))
 
 
 def sharded(nodes: DataFrame, family: DataFrame) -> DataFrame:
     """row, doc_id, n, h1, h2, family, shard, shards: the sets of families, written out. ``nodes``: one row for each set."""
-    known = saved(nodes.join(family.withColumnRenamed("node", "h1"), "h1"), "relations")
+    # Sets that one short node confuses are of one family, whether or not it met another.
+    known = nodes.withColumn("node", F.shiftrightunsigned("h1", 64 - NODE_BITS)).join(family, "node", "left")
+    known = saved(known.withColumn("family", F.coalesce("family", "node")).drop("node"), "relations")
     sizes = known.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1")
     shards = F.ceil(F.col("total") / SHARD).cast("int").alias("shards")
     both = known.join(sizes.select("family", shards), "family")

@@ -68,6 +68,46 @@ def test_components_equal_brute_force(spark, copies, odd_texts, k, percent, chun
     assert [got[i] for i in range(len(texts))] == plain_components(texts, k, percent)
 
 
+def test_signatures_are_shuffled_packed(spark):
+    rng = np.random.default_rng(4)
+    keys, nodes = (rng.integers(-(1 << 63), 1 << 63, 30_000) for _ in range(2))
+    rows = op3_jaccard.packed(keys, nodes)
+    assert sum(len(x) for c in rows.columns[1:] for x in c.to_pylist()) == 10 * len(keys) and rows.num_rows <= 1 << op3_jaccard.RANGE_BITS
+    want = sorted(zip((keys.view(np.uint64) >> np.uint64(16)).tolist(), (nodes.view(np.uint64) >> np.uint64(24)).tolist(), strict=True))
+    for part in ([rows], [rows.slice(0, 7), rows.slice(7)], [op3_jaccard.packed(keys[:1], nodes[:1]), op3_jaccard.packed(keys[1:], nodes[1:])]):
+        back = [op3_jaccard.unpacked(x) for x in part]
+        assert sorted(x for k, n in back for x in zip(k.tolist(), n.tolist(), strict=True)) == want
+    a, b = op3_jaccard.meetings(np.array([5, 5, 7, 5, 7, 8], np.uint64), np.array([3, 1, 2, 1, 3, 9], np.uint64))
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(3, 1), (3, 2)]
+    # Sets whose short nodes are alike are of one family, also if they met no other; a set alone is of none.
+    sets = spark.createDataFrame([(-1, 1, 0, 0, 5), (-2, 2, 1, 1, 5), (1 << 40, 3, 2, 2, 5), (1 << 41, 4, 3, 3, 5), (1 << 42, 5, 4, 4, 5)], "h1 long, h2 long, row long, doc_id long, n long")
+    family = spark.createDataFrame([(1 << 16, 7), (1 << 17, 7)], "node long, family long")
+    got = sorted((r.family, r.row) for r in op3_jaccard.sharded(sets, family).collect())
+    assert got == [(7, 2), (7, 3), ((1 << 40) - 1, 0), ((1 << 40) - 1, 1)]
+
+
+def test_sets_that_link_share_a_signature_and_strangers_none():
+    rng = np.random.default_rng(2)
+    measure, tried = Jaccard(4, 85), 0
+    for n, share in [(n, share) for n in (1, 5, 12, 60, 400, 1500) for share in (0, 0.3, 0.9, 1) for _ in range(5)]:
+        pool = rng.integers(0, 1 << 63, 3 * n + 5, dtype=np.uint64) * np.uint64(2)
+        base, other = np.unique(pool[:n]), np.unique(pool[-n:])
+        sets = [base, other, np.zeros(0, np.uint64)]
+        for gone in (0, 0.02, 0.06):
+            sets.append(np.union1d(base[rng.random(len(base)) >= gone], pool[n:][: rng.integers(0, n // 10 + 1)]))
+        frequent = np.unique(np.concatenate([x[rng.random(len(x)) < share] for x in sets]))
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        names, owners = op3_jaccard.signatures(np.concatenate(sets), bounds, 85, frequent, rng.integers(4, 1 << 20, len(frequent)))
+        by = [set(names[owners == i].tolist()) for i in range(len(sets))]
+        assert not by[2] and (n < 60 or not by[0] & by[1])  # also where all tokens are frequent: empty groups are the last to sign
+        for i in range(len(sets)):
+            for j in range(i):
+                if len(sets[i]) and len(sets[j]) and measure.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
+                    assert by[i] & by[j]
+                    tried += 1
+    assert tried > 100
+
+
 def test_components_of_repeated_and_null_ids_and_empty_tables(spark, empty):
     df = table(spark, ["a b c d e", "a b c d e", "a b c d e", "x y z w v", None], [7, 7, 3, None, 1])
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect()), key=str)

@@ -63,7 +63,10 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished queries now: it does so once the driver has collected its garbage."""
+    """Let Spark delete the shuffle files of finished queries now: it does so once the driver has collected its garbage.
+
+    The files of the query that ended last may stay, for its end is told to listeners meanwhile: call this some queries later.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -412,9 +412,7 @@ def families(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> D
 
     signed = rows.mapInArrow(run, "range int, gaps binary, gaps_up binary, nodes binary, nodes_up binary")
     met = signed.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "a long, b long")
-    relatives = saved(met.distinct(), "relatives")
-    drop_shuffles(docs.sparkSession)
-    return components(relatives).select("node", F.col("label").alias("family"))
+    return components(saved(met.distinct(), "relatives")).select("node", F.col("label").alias("family"))
 
 
 def sharded(nodes: DataFrame, family: DataFrame) -> DataFrame:
@@ -498,6 +496,7 @@ def jaccard_components(docs: DataFrame, measure: Jaccard = Jaccard(), id_col: st
     live = own.where("n > 0 and doc_id is not null")
     nodes = saved(live.groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
     members = sharded(nodes, families(docs, measure, id_col, text_col))
+    drop_shuffles(docs.sparkSession)  # that of the signatures, before the families' texts and sets are shuffled
     labels = components(linked(members, docs, measure, id_col, text_col)).withColumnRenamed("node", "row")
     named = saved(nodes.join(labels, "row", "left").select("h1", "h2", F.coalesce("label", "row").alias("label"), "doc_id"), "named")
     least = saved(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")

@@ -7,7 +7,9 @@ A text's set is its distinct hashes of k-word shingles. Its tokens are hashed in
    are of one family, directly or through others. Sizes are parted into bands so wide that only neighbours
    can link; each set signs for its own band and the next. Some groups more than d + 1 are made, and as many need not
    sign: in each set those that say least, empty ones and then those whose tokens are the most frequent in the corpus.
-   Each task folds the families of its own texts before anything is shuffled, and packs what is left: a signature is
+   Some more than that, a share of d, are made and sign, so that sets that link share several signatures: a set that shares
+   fewer with others links with none and goes, then those that shared with it alone, and so on. So meetings by chance,
+   of which a set has the more the larger the corpus is, don't chain strangers into families. A signature is
    shuffled as its gap from the one before it and a short hash of its set, 10 bytes together. Signatures
    and sets that the shorter hashes confuse only make a family larger, for links are verified on the sets.
 2. Join. The sets of a family, in shards of bounded size if it is large, are joined shard by shard: a set is the
@@ -34,10 +36,10 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm.common import bounded_batches, drop_shuffles, flat_bytes, saved, sliced, text_of, tidy
+from bitquarry.llm.common import bounded_batches, discard, drop_shuffles, flat_bytes, saved, saved_paths, sliced, text_of, tidy
 from bitquarry.llm.components import components
 from bitquarry.llm.text import NOT_SPACE, distinct_by_row, mix, shingles, words
 
@@ -54,6 +56,12 @@ FREQUENT, SHARE = 1 << 16, 0.0005
 #: and some hundred pairs meet by chance. A chunk's signatures are dealt by their first RANGE_BITS; what follows those, and a node,
 #: takes 40 bits at most.
 KEY_BITS, NODE_BITS, RANGE_BITS = 48, 40, 12
+#: The bit of a signature that tells the two bands of a set apart.
+BAND = np.uint64(1 << (64 - KEY_BITS))
+#: Of the groups in which sets that link may differ, one in MORE gives a further group that signs; there is one further group at least.
+MORE = 8
+#: Rounds in which sets that share too few signatures go, at most, and the share of rows gone in a round below which it is the last.
+ROUNDS, FEW = 12, 0.01
 #: Tokens of a shard of a family (a larger set is one by itself): a task holds two shards.
 SHARD = 1 << 21
 #: Buckets of document ids, of which those that hold a wanted text are sent to all tasks.
@@ -69,17 +77,34 @@ def bands(percent: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def further(differ: int) -> int:
+    """Groups that sign beyond those that make sure of a shared one, by the number of differing tokens."""
+    return 1 + differ // MORE if differ else 0
+
+
+def least_shared(n: Column, percent: int) -> Column:
+    """Of a set of ``n`` tokens that links with another: signatures of one band that it shares with others, at least.
+
+    One fewer than ``further`` promises where that leaves two, for the cut of two signatures may be the same.
+    """
+    differ = F.floor(2 * n * (100 - percent) / (100 + percent))  # that of its band is no smaller
+    return F.when(differ > 0, F.greatest(F.lit(2), 1 + F.floor(differ / MORE))).otherwise(1)
+
+
 @lru_cache
 def levels(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs whose larger set is of a band: the groups to make, and how many of a set's need not sign."""
+    """For pairs whose larger set is of a band: the groups to make, and how many of a set's need not sign.
+
+    Of sets that link at least ``1 + further(differ)`` groups that are alike sign in both.
+    """
     at = bands(percent)
     groups, spare = [], []
     for b in range(len(at) - 1):
         differ = 2 * (int(at[b + 1]) - 1) * (100 - percent) // (100 + percent)
-        weak = 0
+        weak, least = 0, differ + 1 + further(differ)
         for _ in range(8):  # groups that a set of the band below is likely to leave empty, twice over
-            weak = int(2 * (differ + 1 + weak) * exp(-int(at[max(0, b - 1)]) / (differ + 1 + weak)) + 1) if differ else 0
-        groups.append(differ + 1 + weak)
+            weak = int(2 * (least + weak) * exp(-int(at[max(0, b - 1)]) / (least + weak)) + 1) if differ else 0
+        groups.append(least + weak)
         spare.append(weak)
     return np.array(groups, np.int64), np.array(spare, np.int64)
 
@@ -119,8 +144,8 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, frequent: n
     """Signatures (unsigned) of the sets, and the set of each. ``frequent``, ``counts``: sorted tokens that many texts have, and how many.
 
     A set's groups are in an order that what they hold alone fixes: those with a token that isn't frequent, then the others by their rarest token,
-    the more frequent the later, empty ones last. The last ``spare`` of them don't sign. Of the more than ``spare`` groups that hold the same in two sets that link, the first
-    in this order is then none of the last ``spare`` of either.
+    the more frequent the later, empty ones last. The last ``spare`` of them don't sign. Of the groups that hold the same in two sets that link, all but the last ``spare``
+    in this order are then none of the last ``spare`` of either. The last bit that is left of a signature when it is cut is that of its band.
     """
     at, (groups, spare) = bands(percent), levels(percent)
     n = np.diff(bounds)
@@ -150,6 +175,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, frequent: n
         number = np.arange(total) - np.repeat(first[:-1], g)
         tag = (level.astype(np.uint64)[owner] << np.uint64(40)) + number.astype(np.uint64)
         name = mix(sums ^ mix(tag))
+        name = (name & ~BAND) | (level.astype(np.uint64)[owner] << np.uint64(64 - KEY_BITS) & BAND)
         rank = (rank << np.uint64(58)) | (name >> np.uint64(6))
         order = np.lexsort((rank, owner))
         least = rank[order[first[:-1][live] + spare[level[live]]]]  # of each set's groups that sign; any alike sign too
@@ -159,31 +185,12 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, frequent: n
     return np.concatenate(names), np.concatenate(owners)
 
 
-def folded_families(names: np.ndarray, owners: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (signed) and nodes that tell the same families: each signature once, and for each family of these sets a key of its own that all of them have."""
-    order = np.argsort(names, kind="stable")
-    names, owners = names[order], owners[order]
-    new = np.ones(len(names), bool)
-    new[1:] = names[1:] != names[:-1]
-    starts = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    label = np.arange(len(nodes))
-    many = np.concatenate([np.diff(starts), [len(names) - starts[-1]]])[group] > 1 if len(names) else np.zeros(0, bool)
-    g, o = group[many], owners[many]
-    if len(g):
-        begins = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        sizes = np.diff(np.concatenate([begins, [len(g)]]))
-        while True:
-            least = np.repeat(np.minimum.reduceat(label[o], begins), sizes)
-            after = label.copy()
-            np.minimum.at(after, o, least)
-            after = after[after]
-            if (after == label).all():
-                break
-            label = after
-    family = np.flatnonzero(np.bincount(label, minlength=len(nodes))[label] > 1)
-    keys = mix(nodes[label[family]].view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
-    return np.concatenate([names[starts], keys]).view(np.int64), np.concatenate([nodes[owners[starts]], nodes[family]])
+def once(names: np.ndarray, owners: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and nodes of these sets, those of equal sets once."""
+    first = np.zeros(len(nodes), bool)
+    first[np.unique(nodes, return_index=True)[1]] = True
+    kept = first[owners]
+    return names[kept], nodes[owners[kept]]
 
 
 def packed(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
@@ -221,6 +228,18 @@ def short_nodes(nodes: np.ndarray) -> np.ndarray:
     return nodes.view(np.uint64) >> np.uint64(64 - NODE_BITS)
 
 
+def shared(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures that several nodes have, and these nodes, each once."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[new], nodes[new]
+    as_before = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+    many = as_before[:-1] | as_before[1:] if len(keys) else np.zeros(0, bool)
+    return keys[many], nodes[many]
+
+
 def meetings(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of a node and the least node with which it shares a signature."""
     order = np.argsort(keys)
@@ -360,8 +379,37 @@ def described(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) ->
     return saved(rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long").withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
-def families(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
-    """Step 1: node (short, of a set's first hash) and family of each set that shares a signature with another, written out."""
+def relatives(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct a, b (short nodes) that connect the sets that share signatures, written out, but no set that shares fewer than one that links.
+
+    ``met``: key, node of signatures that several nodes have; ``nodes``: h1 and n of each set.
+    """
+    spark = met.sparkSession
+    node = F.shiftrightunsigned("h1", 64 - NODE_BITS).alias("node")
+    least = nodes.select(node, "n").groupBy("node").agg(F.min("n").alias("n")).select("node", least_shared(F.col("n"), percent).alias("least"))
+    least, asked = saved_paths(least.join(met.select("node").distinct(), "node"), "least-shared")
+    before, path = met.count(), None
+    for _ in range(ROUNDS):
+        unit = met.groupBy("node", F.col("key").bitwiseAND(1).alias("band")).agg(F.count("*").alias("shares"))
+        enough = unit.join(least, "node").where("shares >= least").select("node", "band")
+        kept, first = saved_paths(met.withColumn("band", F.col("key").bitwiseAND(1)).join(enough, ["node", "band"]).select("key", "node"), "sharing")
+        keys = kept.groupBy("key").agg(F.count("*").alias("sets"), F.min("node").alias("low")).where("sets > 1").select("key", "low")
+        met, second = saved_paths(kept.join(keys, "key").select("key", "node", "low"), "sharing")
+        for old in (first, path):
+            if old:
+                discard(spark, old)
+        drop_shuffles(spark)
+        before, path, gone = met.count(), second, before - met.count()
+        if gone <= FEW * (before + gone):
+            break
+    out = saved(met.where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "relatives")
+    for old in (path, asked):
+        discard(spark, old)
+    return out
+
+
+def families(docs: DataFrame, nodes: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> DataFrame:
+    """Step 1: node (short, of a set's first hash) and family of each set that shares signatures enough with others, written out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).where("doc_id is not null").select("text")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, measure))  # FREQUENT numbers at most
 
@@ -370,7 +418,7 @@ def families(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> D
         names, owners, nodes, held, seen = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            return packed(*folded_families(np.concatenate(names), np.concatenate(owners), np.concatenate(nodes)))
+            return packed(*once(np.concatenate(names), np.concatenate(owners), np.concatenate(nodes)))
 
         for b in sliced(batches, "text", PIECE):
             values, bounds = measure.flat_sets(b.column("text"))
@@ -392,11 +440,11 @@ def families(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> D
         keys, nodes = [], []
 
         def flush(keep: int) -> pa.RecordBatch:
-            """What meets below signature ``keep``; the rest stays held."""
+            """What is shared below signature ``keep``; the rest stays held."""
             k, n = np.concatenate(keys), np.concatenate(nodes)
             done = k < np.uint64(keep)
             keys[:], nodes[:] = [k[~done]], [n[~done]]
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in meetings(k[done], n[done])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in shared(k[done], n[done])], names=["key", "node"])
 
         for b in batches:
             if not b.num_rows:
@@ -411,8 +459,11 @@ def families(docs: DataFrame, measure: Jaccard, id_col: str, text_col: str) -> D
             yield flush(1 << KEY_BITS)
 
     signed = rows.mapInArrow(run, "range int, gaps binary, gaps_up binary, nodes binary, nodes_up binary")
-    met = signed.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "a long, b long")
-    return components(saved(met.distinct(), "relatives")).select("node", F.col("label").alias("family"))
+    met = signed.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "key long, node long")
+    met, path = saved_paths(met, "met")
+    edges = relatives(met, nodes, measure.percent)
+    discard(docs.sparkSession, path)
+    return components(edges).select("node", F.col("label").alias("family"))
 
 
 def sharded(nodes: DataFrame, family: DataFrame) -> DataFrame:
@@ -495,7 +546,7 @@ def jaccard_components(docs: DataFrame, measure: Jaccard = Jaccard(), id_col: st
     own = described(docs, measure, id_col, text_col)
     live = own.where("n > 0 and doc_id is not null")
     nodes = saved(live.groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
-    members = sharded(nodes, families(docs, measure, id_col, text_col))
+    members = sharded(nodes, families(docs, nodes, measure, id_col, text_col))
     drop_shuffles(docs.sparkSession)  # that of the signatures, before the families' texts and sets are shuffled
     labels = components(linked(members, docs, measure, id_col, text_col)).withColumnRenamed("node", "row")
     named = saved(nodes.join(labels, "row", "left").select("h1", "h2", F.coalesce("label", "row").alias("label"), "doc_id"), "named")

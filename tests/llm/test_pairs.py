@@ -86,6 +86,40 @@ def test_signatures_are_shuffled_packed(spark):
     assert got == [(7, 2), (7, 3), ((1 << 40) - 1, 0), ((1 << 40) - 1, 1)]
 
 
+def test_sets_that_link_share_as_many_signatures_as_they_must():
+    rng, tried = np.random.default_rng(5), 0
+    for percent in (80, 85):
+        for n in [n for n in (8, 12, 30, 100, 700, 3000) for _ in range(8)]:
+            pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
+            least = -(-percent * n // 100)
+            sets = [np.unique(pool[:n]), np.unique(pool[: rng.integers(least, n + 1)])]  # as far apart as links may be
+            frequent = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()] for x in sets]))
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            names, owners = op3_jaccard.signatures(np.concatenate(sets), bounds, percent, frequent, rng.integers(4, 1 << 20, len(frequent)))
+            both = np.intersect1d(names[owners == 0], names[owners == 1])
+            differ = [2 * len(x) * (100 - percent) // (100 + percent) for x in sets]
+            need = 1 + max(map(op3_jaccard.further, differ))
+            assert max(np.bincount((both & op3_jaccard.BAND > 0).astype(int))) >= need  # of one band
+            tried += need > 2
+    assert tried > 20
+
+
+def test_sets_that_meet_by_chance_are_no_family(spark):
+    """A chain of texts, each of which has a passage of the next, and near copies; before, whoever shared one signature was of one family."""
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(1 << 40)}" for _ in range(300)] for _ in range(120)]
+    for a, b in zip(texts, texts[1:]):
+        b[:14] = a[-14:]
+    near = [t[:150] + ["other"] + t[151:] for t in texts[::12]]
+    docs = table(spark, [" ".join(t) for t in texts + near]).repartition(3)
+    measure = Jaccard(5, 80)
+    own = op3_jaccard.described(docs, measure, "doc_id", "text")
+    family = op3_jaccard.families(docs, own, measure, "doc_id", "text")
+    members = op3_jaccard.sharded(own, family).groupBy("family").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).collect()
+    assert sorted(r.ids for r in members) == [[12 * i, 120 + i] for i in range(10)]
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs, measure).collect()} == {i: i if i < 120 else 12 * (i - 120) for i in range(130)}
+
+
 def test_sets_that_link_share_a_signature_and_strangers_none():
     rng = np.random.default_rng(2)
     measure, tried = Jaccard(4, 85), 0

@@ -85,3 +85,16 @@ def test_rows_are_judged_by_their_own_text(spark, tmp_path):
     assert got == {r for r in rows if not (r[1] or "").startswith("p0")}
     got = sorted(((r.doc_id, r.text) for r in p.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()), key=str)
     assert got == sorted([(1, one), (7, two), (2, three), (2, passage), (None, None), (None, None)], key=str)
+
+
+def test_numbers_of_rows_read_from_files_need_no_copy(spark, tmp_path):
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:5])] + [(3, texts[3])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/a b=1%")
+    read = spark.read.parquet(f"{tmp_path}/a b=1%")
+    got = p.numbered(read)
+    assert not any("/numbered-" in f for f in got.inputFiles())
+    first = {tuple(r) for r in got.collect()}
+    assert len({r[-1] for r in first}) == len(first) == len(rows) and {tuple(r) for r in got.repartition(2).collect()} == first
+    assert sorted(map(tuple, p.drop_near_duplicates(spark, read, str(tmp_path)).collect())) == rows[:40]
+    assert any("/numbered-" in f for f in p.numbered(read.where("doc_id > 1")).inputFiles())

@@ -4,8 +4,8 @@ The leaves of the tree hold ``rank << 32 | position`` of each adjacent pair of a
 root is the leftmost of the lowest-ranked pairs. A merge changes three leaves, each in
 logarithmic time; the word is done when the root holds no pair.
 
-Pieces of ASCII are lower-cased and cut into words here; for others the library's own normaliser and
-pre-tokenizer are asked, once for each distinct piece, as their Unicode tables differ from Python's.
+Pieces of ASCII and of the letters up to U+00FF are lower-cased and cut into words here; for others the library's own
+normaliser and pre-tokenizer are asked, as their Unicode tables differ from Python's.
 
 Defined cases: null and empty texts have no ids; repeated rows give repeated rows; a null id column
 stays null; other columns of the input are not looked at; an empty table gives an empty result.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,8 +32,11 @@ _NONE = 1 << 62
 #: White space of the normaliser; str.split() also takes U+001C to U+001F, which are symbols here.
 _SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROL = regex.compile("[\x1c-\x1f]")
-#: Entries that a worker's caches of pieces and of words hold before they are emptied, and the longest key that is kept.
-CHUNKS, WORDS, LONGEST = 250_000, 250_000, 48
+#: Pieces that normalise to their lower case: ASCII and the letters of Latin-1, nothing that combines.
+_LATIN = regex.compile("[\0-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+#: Entries that a worker's caches of the library's pieces and of words hold, and the longest key that is kept. When half of the
+#: words are new, those that weren't asked for meanwhile are dropped.
+CHUNKS, WORDS, LONGEST = 50_000, 450_000, 48
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -66,15 +70,17 @@ class SegmentTreeBpe:
         symbols = _byte_symbols()
         self.inner = [self.vocab[c] for c in symbols]
         self.last = [self.vocab[c + suffix] for c in symbols]
-        self.pair: dict[int, int] = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.pair[self.vocab[a] << 20 | self.vocab[b]] = rank << 20 | self.vocab[a + b]
+        self.pair = {self.vocab[a] << 20 | self.vocab[b]: rank << 32 for rank, (a, b) in enumerate(model["merges"])}
+        self.made = [0] * len(model["merges"])
+        for pair, rank in self.pair.items():
+            a, b = model["merges"][rank >> 32]
+            self.made[rank >> 32] = self.vocab[a + b]
         names = {i: t for t, i in (self.vocab | self.special).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         (split,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         if "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" not in split or not all(t.startswith("<|") for t in self.special):
             raise ValueError(f"a pre-tokenizer or special tokens of another kind: {path}")
-        self.words = regex.compile(split, regex.ASCII)
+        self.words, self.latin_words = regex.compile(split, regex.ASCII), regex.compile(split)
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.symbols = {c: b for b, c in enumerate(symbols)}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -82,8 +88,7 @@ class SegmentTreeBpe:
 
         library = Tokenizer.from_file(path)
         self.normalise, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.chunk_cache: dict[str, bytes] = {}
-        self.word_cache: dict[bytes, bytes] = {}
+        self.forget()
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -95,14 +100,14 @@ class SegmentTreeBpe:
         ids[-1] = self.last[data[-1]]
         if n == 1:
             return ids
-        get = pair.get
+        get, made = pair.get, self.made
         size = 1 << (n - 2).bit_length()
         tree = [_NONE] * (2 * size)
         for i in range(n - 1):
             m = get(ids[i] << 20 | ids[i + 1])
             if m is not None:
-                tree[size + i] = (m >> 20) << 32 | i
-        for x in range(size - 1, 0, -1):
+                tree[size + i] = m | i
+        for x in range(size + n - 2 >> 1, 0, -1):  # nodes after these hold no pair
             a, b = tree[2 * x], tree[2 * x + 1]
             tree[x] = a if a < b else b
         after = list(range(1, n + 1))
@@ -110,21 +115,23 @@ class SegmentTreeBpe:
         while (top := tree[1]) != _NONE:
             i = top & 0xFFFFFFFF
             j = after[i]
-            new = ids[i] = get(ids[i] << 20 | ids[j]) & 0xFFFFF
+            new = ids[i] = made[top >> 32]
             ids[j] = -1
             k = after[i] = after[j]
             p = before[i]
+            m = None
             if k < n:
                 before[k] = i
                 m = get(new << 20 | ids[k])
-                changed = [(i, _NONE if m is None else (m >> 20) << 32 | i), (j, _NONE)]
-            else:
-                changed = [(i, _NONE)]
+            changed = [(size + i, _NONE if m is None else m | i)]
+            if k < n and tree[size + j] != _NONE:
+                changed.append((size + j, _NONE))
             if p >= 0:
                 m = get(ids[p] << 20 | new)
-                changed.append((p, _NONE if m is None else (m >> 20) << 32 | p))
+                value = _NONE if m is None else m | p
+                if tree[size + p] != value:
+                    changed.append((size + p, value))
             for x, value in changed:
-                x += size
                 tree[x] = value
                 while x > 1:
                     other = tree[x ^ 1]
@@ -136,37 +143,45 @@ class SegmentTreeBpe:
                     tree[x] = value
         return [x for x in ids if x >= 0]
 
-    def _word(self, word: bytes) -> bytes:
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token of lower-cased ASCII and Latin-1."""
         got = self.word_cache.get(word)
         if got is None:
-            got = np.array(self.merge(word), dtype="<u4").tobytes()
+            got = self.old_words.get(word)
+            if got is None:
+                got = array("I", self.merge(word.encode())).tobytes()
             if len(word) <= LONGEST:
-                if len(self.word_cache) >= WORDS:
-                    self.word_cache.clear()
+                if len(self.word_cache) >= WORDS // 2:
+                    self.old_words, self.word_cache = self.word_cache, {}
                 self.word_cache[word] = got
         return got
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a piece without white space."""
         if chunk.isascii():
-            words = [w.encode() for w in self.words.findall(chunk.lower())]
-        else:
+            return b"".join(map(self._word, self.words.findall(chunk.lower())))
+        if _LATIN.fullmatch(chunk):
+            return b"".join(map(self._word, self.latin_words.findall(chunk.lower())))
+        got = self.chunk_cache.get(chunk)
+        if got is None:
             symbols = self.symbols
-            words = [bytes([symbols[c] for c in w]) for w, _ in self.cut(self.normalise(chunk))]
-        got = b"".join(map(self._word, words))
-        if len(chunk) <= LONGEST:
-            if len(self.chunk_cache) >= CHUNKS:
-                self.chunk_cache.clear()
-            self.chunk_cache[chunk] = got
+            got = b"".join(array("I", self.merge(bytes([symbols[c] for c in w]))).tobytes() for w, _ in self.cut(self.normalise(chunk)))
+            if len(chunk) <= LONGEST:
+                if len(self.chunk_cache) >= CHUNKS:
+                    self.chunk_cache.clear()
+                self.chunk_cache[chunk] = got
         return got
 
     def _plain(self, text: str) -> bytes:
-        text = text.lower() if text.isascii() else text
+        text = text.lower() if text.isascii() or _LATIN.fullmatch(text) else text
         chunks = [x for x in _SPACE.split(text) if x] if _CONTROL.search(text) else text.split()
-        cache, out = self.chunk_cache, []
+        known, out = self.word_cache, []
         for c in chunks:
-            got = cache.get(c)
-            out.append(self._chunk(c) if got is None else got)
+            got = known.get(c)  # a piece that is a known word is that word alone
+            if got is None:
+                got = self._chunk(c)
+                known = self.word_cache
+            out.append(got)
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
@@ -180,8 +195,9 @@ class SegmentTreeBpe:
         return np.frombuffer(b"".join([*out, self._plain(text[at:])]), dtype="<u4")
 
     def forget(self) -> None:
-        self.chunk_cache.clear()
-        self.word_cache.clear()
+        self.chunk_cache: dict[str, bytes] = {}
+        self.word_cache: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder, so tokens are joined by spaces; unknown ids are left out."""

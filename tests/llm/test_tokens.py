@@ -110,3 +110,19 @@ def test_every_code_point_and_special_strings_in_any_case(library):
         assert [np.frombuffer(x, cached.kind).tolist() for x in cached.encode(pa.array(["É"] * 3 + some)[3:]).to_pylist()] == want
         assert [bpe.encode(t).tolist() for t in some] == want
     assert [np.frombuffer(x, cached.kind).tolist() for x in cached.encode(pa.array(texts[-12:]), 2).to_pylist()] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts[-12:]]
+
+
+def test_latin_pieces_are_cut_here_and_words_in_use_stay_cached(library, monkeypatch):
+    import bitquarry.llm.op8_bpe as m
+
+    bpe = SegmentTreeBpe(PATH)
+    monkeypatch.setattr(bpe, "cut", None)
+    for text in ("Straße, ÀÉÎ'S größer.ÿ1é2", "Ça VA'LL été\x1c déjà", "«É» z"[1:2] + "Ñ" * 60):
+        assert bpe.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(m, "WORDS", 8)
+    asked, merge = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda word: asked.append(word) or merge(word))
+    bpe.forget()
+    for i in range(30):
+        bpe.encode(f"common new{'x' * i}")
+    assert asked.count(b"common") == 1 and len(bpe.word_cache) + len(bpe.old_words) <= 8
